@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": token_files.op5_token_files,
+    "op7_simhash": simhash.op7_simhash,
     "op10_packing": packing.op10_packing,
 }
 
