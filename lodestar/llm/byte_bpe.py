@@ -16,8 +16,8 @@ import numpy as np
 
 #: A space that both follows and precedes white space (or an end): no place to cut at.
 _INSIDE_RUN = re.compile(r"(?:^|\s) (?=\s|$)")
-#: Chunks that the cache may hold, twice; the longest chunk that goes there; characters encoded at a time.
-CACHE_CHUNKS, CACHE_CHARS, GROUP_CHARS = 700_000, 48, 4_000_000
+#: Chunks and bytes of chunks that the cache may hold; characters encoded at a time.
+CACHE_CHUNKS, CACHE_CHARS, GROUP_CHARS = 600_000, 16_000_000, 3_000_000
 END_ID = 0
 
 
@@ -28,6 +28,18 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Numbers(dict):
+    """Numbers new keys from 0 up and lists them."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     """``encode_many(texts)`` gives the ids of whole texts as bytes, little-endian unsigned 32-bit."""
 
@@ -41,50 +53,76 @@ class Encoder:
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, k in self.tokenizer.get_vocab().items():
             self.n_bytes[k] = len(token)
-        self.cache: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: A chunk's number: of one that a space precedes by the chunk, of a text's first by a space and the chunk.
+        self.numbers, self.chars = _Numbers(), 0
+        #: By number: where the chunk's ids begin in ``flat``, how many, and whether the chunk ends with white space.
+        self.begin, self.size, self.loose = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.flat = np.zeros(0, "<u4")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of each chunk after a space. Chunks without white space at their ends go in one call."""
-        out, plain = {}, []
-        for x in chunks:
-            if x and not x[0].isspace() and not x[-1].isspace():
-                plain.append(x)
+    def _together(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that a space precedes, one after the other, and how many each has."""
+        if not chunks:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lines = [(b" " + b" ".join(chunks[k : k + 100])).decode() for k in range(0, len(chunks), 100)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in found])
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Append the ids of new chunks. Those without white space at their ends are encoded together."""
+        plain, odd, loose = [], [], np.zeros(len(chunks), bool)
+        for k, x in enumerate(chunks):
+            y = x if x.isascii() else x.decode()
+            if x and y.strip() == y and not y[-1:].isspace():
+                plain.append(k)
             else:
-                out[x] = self._ids(" " + x).tobytes()
-        if plain:
-            ids = self._ids(" " + " ".join(plain))
-            ends = np.cumsum([len(x.encode()) + 1 for x in plain])
-            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)).tolist()]
-            flat = ids.tobytes()
-            out.update((x, flat[a:b]) for x, a, b in zip(plain, cuts, cuts[1:], strict=False))
-        return out
+                odd.append(k)
+                loose[k] = not y.strip() or y[-1:].isspace()
+        flat, counts = self._together([chunks[k] for k in plain])
+        size, begin, ids = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), []
+        size[plain], begin[plain] = counts, np.cumsum(counts) - counts
+        for k in odd:
+            x = chunks[k].decode()
+            ids.append(self._ids(x[1:] if x[:1] == " " else " " + x) if x != " " else flat[:0])
+            size[k] = len(ids[-1])
+        begin[odd] = len(flat) + np.cumsum(size[odd]) - size[odd]
+        self.begin = np.concatenate([self.begin, begin + len(self.flat)])
+        self.size = np.concatenate([self.size, size])
+        self.loose = np.concatenate([self.loose, loose])
+        self.flat = np.concatenate([self.flat, flat, *ids])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = [x.split(" ") for x in texts]
-        needed = set().union(*(p[1:] for p in cut))
-        if len(self.cache) + len(needed) > 2 * CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
-        known = self._learn([x for x in needed if x not in cache])
-        # without chunks that are empty or end with white space: a text all of whose chunks are here can be cut
-        cache.update((k, v) for k, v in known.items() if k and len(k) <= CACHE_CHARS and not k[-1].isspace())
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            first, rest = parts[0], parts[1:]
-            if not rest or not first or first[-1].isspace():
-                out.append(self._ids(text).tobytes() if text else b"")
-                continue
-            head = self._ids(first).tobytes()
-            try:
-                out.append(head + b"".join(map(cache.__getitem__, rest)))
-            except KeyError:
-                if _INSIDE_RUN.search(text):
-                    out.append(self._ids(text).tobytes())
-                else:
-                    out.append(head + b"".join([cache[x] if x in cache else known[x] for x in rest]))
+        if not texts:
+            return []
+        if len(self.numbers) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
+            self._forget()
+        numbers, counts, found = self.numbers, [], []
+        for text in texts:
+            parts = text.encode().split(b" ")
+            parts[0] = b" " + parts[0]
+            counts.append(len(parts))
+            found.append(np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)))
+        if numbers.new:
+            self._learn(numbers.new)
+            self.chars += sum(map(len, numbers.new))
+            numbers.new = []
+        found = np.concatenate(found)
+        size = self.size[found]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.begin[found] - ends + size, size) + np.arange(ends[-1])].tobytes()
+        last = np.cumsum(counts)
+        cuts = [0, *(4 * ends[last - 1]).tolist()]
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for k in np.flatnonzero(np.add.reduceat(self.loose[found], last - counts)).tolist():
+            if _INSIDE_RUN.search(texts[k]):
+                out[k] = self._ids(texts[k]).tobytes()
         return out
 
     def encode_stream(self, rows: Iterable[tuple[tuple, str | None]]) -> Iterator[tuple[tuple, bytes]]:
