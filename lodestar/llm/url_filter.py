@@ -43,22 +43,21 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``captures`` with host, n_lists, lists (sorted, comma-joined) and blocked: the state of the lists on their day."""
-    rows = captures.withColumn("host", host_of(F.col(url)))
-    pairs = rows.filter(F.col("host").isNotNull() & F.col(day).isNotNull()).groupBy("host", day).agg(F.lit(1).alias("one"))
+    own = [f"`{c}`" for c in captures.columns if c.lower() != "host"]
+    rows = captures.select(*own, host_of(F.col(url)).alias("host"))
+    pairs = rows.select("host", F.col(day).alias("day")).filter("host is not null and day is not null").distinct()
     parts = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    keyed = pairs.select("host", F.col(day).alias("day"), F.explode(above).alias("key"))
+    keyed = pairs.select("host", "day", F.explode(above).alias("key"))
     valid = intervals(entries).withColumnRenamed("host", "key")
     met = keyed.join(valid, "key").filter("since <= day and (until is null or day < until)")
     found = met.groupBy("host", "day").agg(F.array_sort(F.collect_set("list")).alias("found"))  # lists, not rows: few
-    found = found.select(F.col("host").alias("on_host"), F.col("day").alias("on_day"), "found")
-    rows = rows.join(found, (F.col("host") == F.col("on_host")) & (F.col(day) == F.col("on_day")), "left")
-    n = F.coalesce(F.size("found"), F.lit(0)).cast("long")
-    n = F.when(F.col("found").isNull(), F.lit(0).cast("long")).otherwise(n)
-    return rows.select(
-        *(f"`{c}`" for c in captures.columns if c != "host"), "host", n.alias("n_lists"),
-        F.coalesce(F.array_join("found", ","), F.lit("")).alias("lists"), (n > 0).alias("blocked"),
-    )
+    rows, found = rows.alias("capture"), found.alias("verdict")
+    same = (F.col("capture.host") == F.col("verdict.host")) & (F.col(f"capture.{day}") == F.col("verdict.day"))
+    lists = F.coalesce(F.col("verdict.found"), F.array().cast("array<string>"))
+    return rows.join(found, same, "left").select(
+        "capture.*", F.size(lists).cast("long").alias("n_lists"), F.array_join(lists, ",").alias("lists"), (F.size(lists) > 0).alias("blocked")
+    )
 
 
 #: The query's stand-ins for a crawl's dates and for published lists: rules over the pages' own URLs.
