@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,7 +18,9 @@ from lodestar.schema import EngineConfig
 from lodestar.sources.catalogue import class_of
 
 SIDE, TOKENS, THRESHOLD = 8, 8, 0.2
-_V = F.col("embedding")
+def _v() -> Column:
+    return F.col("embedding")
+
 
 
 def _long(rows: DataFrame, v) -> DataFrame:
@@ -27,25 +29,25 @@ def _long(rows: DataFrame, v) -> DataFrame:
 
 
 def l2_normalize(spark, sf_dir):
-    return _long(items(spark, sf_dir), vector.l2_normalize(F.transform(_V, lambda x: x * 3.0)))
+    return _long(items(spark, sf_dir), vector.l2_normalize(F.transform(_v(), lambda x: x * 3.0)))
 
 
 def l2_normalize_raw(spark, sf_dir):
-    return _long(items(spark, sf_dir), vector.l2_normalize_raw(F.transform(_V, lambda x: x * 3.0)))
+    return _long(items(spark, sf_dir), vector.l2_normalize_raw(F.transform(_v(), lambda x: x * 3.0)))
 
 
 def conditional_normalize(spark, sf_dir):
-    return _long(items(spark, sf_dir), vector.conditional_normalize(F.transform(_V, lambda x: x * 3.0), F.col("label") % 2 == 0))
+    return _long(items(spark, sf_dir), vector.conditional_normalize(F.transform(_v(), lambda x: x * 3.0), F.col("label") % 2 == 0))
 
 
 def token_mean_pool(spark, sf_dir):
-    return _long(items(spark, sf_dir), vector.mean_pool(vector.tokens(_V, TOKENS, SIDE), SIDE))
+    return _long(items(spark, sf_dir), vector.mean_pool(vector.tokens(_v(), TOKENS, SIDE), SIDE))
 
 
 def pooled_or_mean(spark, sf_dir):
     """Even labels have a pooler's output, their first token."""
-    pooler = F.when(F.col("label") % 2 == 0, F.slice(_V, 1, SIDE))
-    return _long(items(spark, sf_dir), vector.pooled(pooler, vector.tokens(_V, TOKENS, SIDE), SIDE))
+    pooler = F.when(F.col("label") % 2 == 0, F.slice(_v(), 1, SIDE))
+    return _long(items(spark, sf_dir), vector.pooled(pooler, vector.tokens(_v(), TOKENS, SIDE), SIDE))
 
 
 def sample_head(dim: int = 64, hidden: int = 8, out: int = 4) -> Head:
@@ -61,21 +63,23 @@ def sample_head(dim: int = 64, hidden: int = 8, out: int = 4) -> Head:
 
 
 def head_forward(spark, sf_dir):
-    return _long(items(spark, sf_dir), sample_head().column(_V))
+    return _long(items(spark, sf_dir), sample_head().column(_v()))
 
 
 def embed(spark, sf_dir):
     """The whole embedding in Arrow batches: head and unit length."""
     head = sample_head()
     head.normalize = True
-    return _long(head.embed(items(spark, sf_dir)), _V)
+    return _long(head.embed(items(spark, sf_dir)), _v())
 
 
 def tiles(spark, sf_dir) -> DataFrame:
     return image.pixels(items(spark, sf_dir), SIDE, "vec_id", "embedding")
 
 
-_MASK = F.col("v") > F.lit(THRESHOLD)
+def _mask() -> Column:
+    return F.col("v") > F.lit(THRESHOLD)
+
 
 
 def pixel_normalize(spark, sf_dir):
@@ -91,22 +95,22 @@ def vflip(spark, sf_dir):
 
 
 def mask_apply(spark, sf_dir):
-    return tiles(spark, sf_dir).withColumn("v", F.round(image.mask_apply(F.col("v"), _MASK), 6))
+    return tiles(spark, sf_dir).withColumn("v", F.round(image.mask_apply(F.col("v"), _mask()), 6))
 
 
 def mask_bbox(spark, sf_dir):
-    return image.bounding_box(tiles(spark, sf_dir), _MASK)
+    return image.bounding_box(tiles(spark, sf_dir), _mask())
 
 
 def mask_crop(spark, sf_dir):
     rows = tiles(spark, sf_dir)
-    return image.crop(rows, image.bounding_box(rows, _MASK)).withColumn("v", F.round("v", 6))
+    return image.crop(rows, image.bounding_box(rows, _mask())).withColumn("v", F.round("v", 6))
 
 
 def background_replace(spark, sf_dir):
     """The background of an image is the flipped image."""
     rows = tiles(spark, sf_dir)
-    return image.replace_background(rows, _MASK, image.hflip(rows, SIDE).withColumnRenamed("v", "bg")).withColumn("v", F.round("v", 6))
+    return image.replace_background(rows, _mask(), image.hflip(rows, SIDE).withColumnRenamed("v", "bg")).withColumn("v", F.round("v", 6))
 
 
 def resize_nearest(spark, sf_dir):
