@@ -20,12 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    """A fresh path in the application's part of the shared folder, which is deleted when the driver's JVM ends."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestar-{context.applicationId}")
+    store = root.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(root)
+    store.deleteOnExit(root)
+    return f"{root.toString()}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:

@@ -101,9 +101,9 @@ def host_rates(rows: DataFrame, host: Column, failed: Column) -> DataFrame:
     between = F.col("var") - center * (1 - center) * F.col("inverse")
     weight = F.when(between > 0, center * (1 - center) / between - 1).otherwise(F.lit(PRIOR_DOCS))
     weight = F.least(F.greatest(weight, F.lit(2.0)), F.lit(1000.0))
-    prior = prior.select(center.alias("center"), weight.alias("weight"))  # one row
-    rate = (F.col("k") + F.col("center") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    return hosts.join(F.broadcast(prior)).select("host", rate.alias("rate"))
+    center, weight = prior.select(F.coalesce(center, F.lit(0.5)), weight).first()  # two numbers
+    rate = (F.col("k") + F.lit(center * weight)) / (F.col("n") + F.lit(weight))
+    return hosts.select("host", rate.alias("rate"))
 
 
 def verdicts(docs: DataFrame, name: str = "rules", with_text: bool = True) -> DataFrame:

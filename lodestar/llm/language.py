@@ -32,6 +32,8 @@ from .quality import fold
 
 #: Labelled documents of each language that are learned from, rounds, and the smoothing counts.
 FIT_DOCS, ROUNDS, SMOOTH = 400, 2, 0.1
+#: Languages that are learned: the most frequent ones.
+LANGUAGES = 200
 #: Characters of the longest piece; log probability of a character that no piece covers.
 PIECE_CHARS, UNKNOWN = 12, -16.0
 #: Log factor of a character in the forward pass, and slots of a hash table of pieces.
@@ -61,6 +63,8 @@ def vocabulary(path: str) -> list[str]:
 
 def words_of(text: str | None) -> list[str]:
     found = _LETTERS.findall((text or "").lower())
+    if text and not text.isascii():  # the pattern also lets numerals through that are no digits
+        found = [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
     if any(len(w) > WORD_CHARS for w in found):
         return [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
     return found
@@ -223,9 +227,11 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS) -> LanguageModel:
     known = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
     ).filter("doc_id is not null and lang is not null").filter(fold(F.col("doc_id"), 4) != 2)
+    frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    known = known.join(F.broadcast(frequent.select("lang")), "lang")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_docs)
-    chosen = chosen.select("doc_id", "lang").distinct()  # ``fit_docs`` rows of each language
+    chosen = chosen.select("doc_id", "lang").distinct()  # at most LANGUAGES * fit_docs rows
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
