@@ -28,7 +28,7 @@ def pk_batches(items: DataFrame, n_classes: int, n_items: int, seed: int = 42, l
     each class a circular run of items from a seeded start, so a small class repeats its items; rows
     are told apart by ``slot``. Too few classes for one batch is an error.
     """
-    index = class_index(items, label, key).select(F.col(label), F.col(key), "pos", "n")
+    index = class_index(items.select(label, key), label, key)
     classes = index.groupBy(label).agg(F.first("n").alias("n"))
     total = classes.count()
     if total < n_classes:

@@ -1,4 +1,4 @@
-"""Seeded stratified splits into queries and gallery (test and train)."""
+"""Seeded stratified splits into queries and gallery (test and train), class indexes, batches."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import draw
+from lodestar.operators.ranking import place
 
 
 def _off(pos: Column, start: Column, n: Column) -> Column:
@@ -18,16 +19,14 @@ def per_class(items: DataFrame, ratio: float, seed: int = 42, label: str = "labe
     """Adds ``is_query``: in each class a circular run of ``floor(n * ratio)`` items from a seeded start.
 
     With ``group``, rows that share a group (copies of one source) fall on the same side: groups take
-    the place of items. One shuffle by class; both windows share it.
+    the place of items.
     """
     unit = group or key
-    by = W.partitionBy(label).orderBy(unit)
-    place = F.row_number().over(by) if group is None else F.dense_rank().over(by)
-    rows = items.withColumn("_pos", place.cast("long") - 1)
-    rows = rows.withColumn("_n", F.max("_pos").over(W.partitionBy(label)) + 1)
-    start = draw(f"split:{seed}", F.col(label)) % F.col("_n")
-    size = F.floor(F.col("_n") * F.lit(float(ratio)))
-    return rows.withColumn("is_query", _off(F.col("_pos"), start, F.col("_n")) < size).drop("_pos", "_n")
+    rows = place(items.select(label, group).distinct() if group else items, [label], unit)
+    start = draw(f"split:{seed}", F.col(label)) % F.col("_size")
+    size = F.floor(F.col("_size") * F.lit(float(ratio)))
+    rows = rows.withColumn("is_query", _off(F.col("_place"), start, F.col("_size")) < size).drop("_place", "_size")
+    return items.join(rows, [label, group]) if group else rows
 
 
 def positional(items: DataFrame, ratio: float, seed: int = 42, label: str = "label", key: str = "vec_id") -> DataFrame:
@@ -35,23 +34,23 @@ def positional(items: DataFrame, ratio: float, seed: int = 42, label: str = "lab
 
     There are as many equal blocks as classes; each block's test rows are a circular run; rows beyond
     the last whole block belong to neither side. A row's global number is its place in its class and
-    the sizes of the classes before, so no single task numbers the whole table.
+    the sizes of the classes before.
     """
-    shape = items.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(label)).alias("classes")).first()
-    classes = max(1, shape["classes"])
-    block_rows = shape["rows"] // classes
+    rows = place(items, [label], key)
+    classes = rows.groupBy(label).agg(F.first("_size").alias("c"))
+    shape = classes.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    n_classes = max(1, shape["classes"])
+    block_rows = shape["rows"] // n_classes
     test = int(block_rows * ratio)
-    counts = items.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    before = W.orderBy(label).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(F.col(label).alias("_l"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    rows = items.join(counts, F.col(label).eqNullSafe(F.col("_l")))
-    rows = rows.withColumn("_rn", F.col("_before") + F.row_number().over(W.partitionBy(label).orderBy(key)) - 1)
-    block = F.floor(F.try_divide(F.col("_rn"), F.lit(block_rows))).cast("long")
-    rows = rows.withColumn("block", block)
+    before = W.orderBy(label).rowsBetween(W.unboundedPreceding, -1)  # one row for each class
+    classes = classes.select(F.col(label).alias("_l"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_before"))
+    rows = rows.join(classes, F.col(label).eqNullSafe(F.col("_l")))
+    rows = rows.withColumn("_rn", F.col("_before") + F.col("_place"))
+    rows = rows.withColumn("block", F.floor(F.try_divide(F.col("_rn"), F.lit(block_rows))).cast("long"))
     n = F.lit(max(1, block_rows)).cast("long")
     offset = _off(F.col("_rn") % n, draw(f"pos:{seed}", F.col("block")) % n, n)
-    side = F.when((F.col("block") >= classes) | F.col("block").isNull(), "dropped").when(offset < test, "test").otherwise("train")
-    return rows.withColumn("side", side).drop("_l", "_before", "_rn")
+    side = F.when((F.col("block") >= n_classes) | F.col("block").isNull(), "dropped").when(offset < test, "test").otherwise("train")
+    return rows.withColumn("side", side).drop("_l", "_before", "_rn", "_place", "_size")
 
 
 def class_counts(items: DataFrame, label: str = "label") -> DataFrame:
@@ -60,8 +59,7 @@ def class_counts(items: DataFrame, label: str = "label") -> DataFrame:
 
 def class_index(items: DataFrame, label: str = "label", key: str = "vec_id") -> DataFrame:
     """The inverted index as rows: each item's place ``pos`` among its class's ``n`` items."""
-    rows = items.withColumn("pos", F.row_number().over(W.partitionBy(label).orderBy(key)).cast("long") - 1)
-    return rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(label)))
+    return place(items, [label], key).withColumnsRenamed({"_place": "pos", "_size": "n"})
 
 
 def subset_index(items: DataFrame, subset: DataFrame, label: str = "label", key: str = "vec_id") -> DataFrame:
@@ -70,22 +68,7 @@ def subset_index(items: DataFrame, subset: DataFrame, label: str = "label", key:
 
 
 def batch_scan(items: DataFrame, size: int, key: str = "vec_id") -> DataFrame:
-    """Consecutive batches by key, the last one short: ``batch`` and ``slot``.
-
-    The place of a row is the rows in the key ranges before it and its place in its own range, so no
-    single task numbers the whole table.
-    """
-    ranges = items.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    bounds = items.agg(F.percentile_approx(key, [k / int(ranges) for k in range(1, int(ranges))], 1000).alias("b")).first()["b"] if int(ranges) > 1 else []
-    at = F.lit(0)
-    for b in sorted(set(bounds or [])):
-        at = at + (F.col(key) >= F.lit(b)).cast("int")
-    rows = items.withColumn("_range", at)
-    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    rows = rows.join(F.broadcast(sizes), "_range")  # one row for each range
-    place = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1
-    rows = rows.withColumn("_place", place)
-    rows = rows.withColumn("batch", F.floor(F.col("_place") / size).cast("long")).withColumn("slot", (F.col("_place") % size).cast("int"))
-    return rows.drop("_range", "_before", "_place")
+    """Consecutive batches by key, the last one short: ``batch`` and ``slot``."""
+    rows = place(items, [], key)
+    rows = rows.withColumn("batch", F.floor(F.col("_place") / size).cast("long"))
+    return rows.withColumn("slot", (F.col("_place") % size).cast("int")).drop("_place", "_size")

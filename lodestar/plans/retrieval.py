@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.hashing import draw_sql
 from lodestar.functions.vector import doubles
 from lodestar.operators import mining, sampling, search, splits
+from lodestar.sources.shared import settle
 
 RATIO, SEED, P, K, MARGIN, KS = 0.3, 42, 4, 4, 0.7, (1, 3, 10)
 
@@ -42,46 +43,50 @@ def _neighbours(metric: str):
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = items(spark, sf_dir)
-    batches = sampling.pk_batches(rows, P, K, SEED)
+    batches = settle(sampling.pk_batches(rows, P, K, SEED), "batches")
     return batches, mining.batch_pairs(batches, rows)
 
 
+def _labels(spark, sf_dir) -> DataFrame:
+    return items(spark, sf_dir).select("vec_id", "label")
+
+
 def class_index(spark, sf_dir):
-    return splits.class_index(items(spark, sf_dir)).select("label", "pos", "vec_id", "n")
+    return splits.class_index(_labels(spark, sf_dir)).select("label", "pos", "vec_id", "n")
 
 
 def class_counts(spark, sf_dir):
-    return splits.class_counts(items(spark, sf_dir))
+    return splits.class_counts(_labels(spark, sf_dir))
 
 
 def split_per_class(spark, sf_dir):
-    return splits.per_class(items(spark, sf_dir), RATIO, SEED).select("vec_id", "label", "is_query")
+    return splits.per_class(_labels(spark, sf_dir), RATIO, SEED).select("vec_id", "label", "is_query")
 
 
 def split_positional(spark, sf_dir):
-    return splits.positional(items(spark, sf_dir), RATIO, SEED).select("vec_id", "label", "block", "side")
+    return splits.positional(_labels(spark, sf_dir), RATIO, SEED).select("vec_id", "label", "block", "side")
 
 
 def split_group_summary(spark, sf_dir):
-    rows = splits.positional(items(spark, sf_dir), RATIO, SEED)
+    rows = splits.positional(_labels(spark, sf_dir), RATIO, SEED)
     return rows.groupBy("block", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 def subset_reindex(spark, sf_dir):
     _, gallery = split(spark, sf_dir)
-    return splits.subset_index(items(spark, sf_dir), gallery).select("label", "pos", "vec_id", "n")
+    return splits.subset_index(_labels(spark, sf_dir), gallery).select("label", "pos", "vec_id", "n")
 
 
 def batch_scan(spark, sf_dir):
-    return splits.batch_scan(items(spark, sf_dir), 32).select("vec_id", "batch", "slot")
+    return splits.batch_scan(_labels(spark, sf_dir), 32).select("vec_id", "batch", "slot")
 
 
 def pk_batches(spark, sf_dir):
-    return sampling.pk_batches(items(spark, sf_dir), P, K, SEED)
+    return sampling.pk_batches(_labels(spark, sf_dir), P, K, SEED)
 
 
 def pk_wraparound(spark, sf_dir):
-    return sampling.pk_batches(items(spark, sf_dir), 2, 256, SEED)
+    return sampling.pk_batches(_labels(spark, sf_dir), 2, 256, SEED)
 
 
 def gemm_knn(spark, sf_dir):

@@ -15,6 +15,7 @@ from lodestar.operators.head import Head
 from lodestar.operators.sampling import pk_batches
 from lodestar.operators.search import knn, recall
 from lodestar.schema import EngineConfig
+from lodestar.sources.shared import settle
 
 LOG_SCHEMA = "run string, epoch int, loss double, mean_pos_dist double, mean_neg_dist double, triplets_mined long, recall map<int,double>"
 
@@ -103,7 +104,7 @@ def train_and_evaluate(train_items: DataFrame, val_items: DataFrame, config: Eng
     spark, head, log = train_items.sparkSession, _head(train_items, config), []
     best_recall, best_loss = 0.0, float("inf")
     for epoch in range(config.epochs):
-        batches = pk_batches(train_items, config.classes_per_batch, config.items_per_class, config.seed + epoch)
+        batches = settle(pk_batches(train_items, config.classes_per_batch, config.items_per_class, config.seed + epoch), "batches")
         row = {"run": run, "epoch": epoch} | train_epoch(head, train_items, batches, config, epoch)
         gallery = train_items if full_gallery else batches.select("vec_id", "batch", "slot").join(train_items, "vec_id")
         # a sampled item may occur in several slots; each is a row of the gallery
