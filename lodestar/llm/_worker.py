@@ -6,9 +6,13 @@ each of them would add up. Asking for one drops the one before.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _kept: list = [None, None]
 
 
@@ -21,5 +25,11 @@ def keep(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Drop what is kept; operators without a cache call this first."""
-    _kept[:] = None, None
+    """Drop what is kept and hand free memory back; operators without a cache call this before and after."""
+    if _kept[0] is not None:
+        _kept[:] = None, None
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks otherwise
+    if trim is not None:
+        trim(0)

@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from . import _worker
+
 #: A space that both follows and precedes white space (or an end): no place to cut at.
 _INSIDE_RUN = re.compile(r"(?:^|\s) (?=\s|$)")
 #: Chunks and bytes of chunks that the cache may hold; characters encoded at a time.
@@ -137,11 +139,6 @@ class Encoder:
         yield from zip((k for k, _ in group), self.encode_many([x for _, x in group]), strict=True)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """This worker's encoder."""
+    return _worker.keep(("byte_bpe", path), lambda: Encoder(path))

@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _worker
 from ._store import settle
 from .words import alnum_words
 
 WINDOW = 13
 #: Words of a segment, and characters of a block of phrases, which bounds what is broadcast.
-SEGMENT_WORDS, BLOCK_CHARS = 1_000_000, 16_000_000
+SEGMENT_WORDS, BLOCK_CHARS = 500_000, 16_000_000
 #: Candidates that are looked at together in a segment.
-CANDIDATES = 4_000_000
+CANDIDATES = 500_000
 
 INDEX_SCHEMA = "doc_ids array<string>, starts binary, n_words binary, terms binary, counts binary, places binary"
 
@@ -65,6 +66,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
     schema = pa.schema([pa.field("doc_ids", pa.list_(pa.string()))] + [pa.field(x.split()[0], pa.binary()) for x in INDEX_SCHEMA.split(", ")[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.release()
         doc_ids, held, n = [], [], 0
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
@@ -76,6 +78,8 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
                     doc_ids, held, n = [], [], 0
         if held:
             yield pa.RecordBatch.from_pylist([_segment(doc_ids, held)], schema)
+        del held
+        _worker.release()
 
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, INDEX_SCHEMA)
@@ -163,20 +167,20 @@ class Phrases:
             yield doc, phrase, place, self.sizes[phrase]
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
-    """The items in blocks: each is read on its own and holds about ``block_chars`` characters."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The items in blocks of about ``block_chars`` characters, each read on its own; and whether it is the last."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).first()["n"] or 0
     n = 1 + chars // block_chars
     for k in range(n):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in block.toLocalIterator()]
+        yield [tuple(r) for r in block.toLocalIterator()], k == n - 1
 
 
 def matches(index: DataFrame, benchmark: DataFrame, slop: int = 0, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, first_word, n_words) of every place where a window of an item stands."""
     spark, out = index.sparkSession, None
-    for block in _blocks(benchmark, BLOCK_CHARS):
+    for block, _ in _blocks(benchmark, BLOCK_CHARS):
         sent = spark.sparkContext.broadcast(Phrases(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -230,46 +234,47 @@ def contamination(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     pair = pa.struct([pa.field("doc", pa.int64()), pa.field("item", pa.string())])
     schema = pa.schema([*fields, pa.field("found", pa.list_(pair))])
     carried = index.select("*", F.expr("cast(null as binary) hit"), F.expr("cast(array() as array<struct<doc: long, item: string>>) found"))
-    for k, block in enumerate(_blocks(benchmark, block_chars)):
+    for k, (block, last) in enumerate(_blocks(benchmark, block_chars)):
         sent = spark.sparkContext.broadcast(Phrases(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+            _worker.release()
             for b in batches:
                 for row in b.to_pylist():
                     hit, found = _mark(Segment(row), row["hit"], sent.value)
-                    yield pa.RecordBatch.from_pylist([row | {"hit": hit, "found": row["found"] + found}], schema)
+                    row |= {"hit": hit, "found": row["found"] + found}
+                    yield _documents(row) if last else pa.RecordBatch.from_pylist([row], schema)
+            _worker.release()
 
-        carried = carried.mapInArrow(run, f"{INDEX_SCHEMA}, {_STATE}")
-        if k % 4 == 3:
+        carried = carried.mapInArrow(run, DOCUMENTS if last else f"{INDEX_SCHEMA}, {_STATE}")
+        if k % 4 == 3 and not last:
             carried = settle(carried, "marked-segments")
-    return carried.select("doc_ids", "starts", "n_words", "hit", "found").mapInArrow(
-        _documents, "doc_id string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    )
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row in b.to_pylist():
-            starts = np.frombuffer(row["starts"], "<i4").astype(np.int64)
-            n_words = np.frombuffer(row["n_words"], "<i4").astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(row["hit"], np.uint8)), dtype=np.int64)])
-            n_hit = total[starts + n_words] - total[starts]
-            items: dict[int, set] = {}
-            for x in row["found"]:
-                if x["item"] is not None:
-                    items.setdefault(x["doc"], set()).add(x["item"])
-            lists = [sorted(items.get(k, ())) for k in range(len(starts))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row["doc_ids"], pa.string()),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in lists], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()),
-                    pa.array((n_hit > 0) & (20 * n_hit >= n_words), pa.bool_()),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+    return carried
+
+
+DOCUMENTS = "doc_id string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _documents(row: dict) -> pa.RecordBatch:
+    """Every document of a marked segment."""
+    starts = np.frombuffer(row["starts"], "<i4").astype(np.int64)
+    n_words = np.frombuffer(row["n_words"], "<i4").astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(row["hit"], np.uint8)), dtype=np.int64)])
+    n_hit = total[starts + n_words] - total[starts]
+    items: dict[int, set] = {}
+    for x in row["found"]:
+        if x["item"] is not None:
+            items.setdefault(x["doc"], set()).add(x["item"])
+    lists = [sorted(items.get(k, ())) for k in range(len(starts))]
+    columns = [
+        pa.array(row["doc_ids"], pa.string()),
+        pa.array(n_words, pa.int64()),
+        pa.array(n_hit, pa.int64()),
+        pa.array([len(x) for x in lists], pa.int64()),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()),
+        pa.array((n_hit > 0) & (20 * n_hit >= n_words), pa.bool_()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DOCUMENTS.split(", ")])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

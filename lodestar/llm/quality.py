@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _worker
+
 FIT_ROWS, SHRINK, TO_POOLED, THRESHOLD = 20_000, 0.05, 0.05, 0.3
 #: Bytes of the classes that are counted: letters, capitals, digits, marks of prose, other marks.
 _CLASSES = np.zeros((256, 6), np.float64)
@@ -116,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discrim
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.release()
         for b in batches:
             x = _statistics(b["text"])
             columns = [b["doc_id"], b["y"], pa.array(x.tolist(), pa.list_(pa.float64()))]
@@ -134,6 +137,7 @@ def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.release()
         for b in batches:
             found = sent.value.score(_statistics(b["text"]))
             columns = [b["doc_id"], pa.array(found), pa.array((found >= threshold).astype(np.int32))]
@@ -149,6 +153,7 @@ def keep(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.release()
         for b in batches:
             yield b.filter(pa.array(sent.value.score(_statistics(b.column(text))) >= threshold))
 

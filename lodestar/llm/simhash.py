@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _worker
 from ._store import settle
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 2
 #: Values made at a time; fingerprints under one prefix beyond which it is dealt again; bits for that.
-PORTION, HOT, HOT_BITS = 2_000_000, 20_000, 8
+PORTION, HOT, HOT_BITS = 1_000_000, 20_000, 8
 #: Fingerprints expected under one prefix, which sets the prefix's bits between the two bounds.
 PER_PREFIX, LEAST_BITS, MOST_BITS = 4_000, 10, 18
 
@@ -63,9 +64,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """``docs`` (doc_id, text) to (doc_id, fp); fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.release()
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), shingle, seed) for x in b["text"]], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        _worker.release()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, fp long")
@@ -146,6 +149,7 @@ def _links(distinct: DataFrame, bits: int, radius: int) -> DataFrame:
     rows = rows.filter("hot is null").select("fp", "left", "key", "bits").unionByName(again)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.release()
         for fps, left, low_bits in _runs(batches):
             pairs = list(_meetings(fps, left, low_bits, radius))
             if pairs:
@@ -156,6 +160,7 @@ def _links(distinct: DataFrame, bits: int, radius: int) -> DataFrame:
                 fp = fps.view(np.int64)[order]
                 at = np.flatnonzero(root != np.arange(len(root)))
                 yield pa.RecordBatch.from_pydict({"a": fp[at], "b": fp[root[at]]})
+        _worker.release()
 
     keyed = rows.repartition("key", "bits").sortWithinPartitions("key", "bits")
     return keyed.select("key", "bits", "fp", "left").mapInArrow(meet, "a long, b long")

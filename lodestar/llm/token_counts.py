@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _worker
+
 MARK, UNKNOWN, PENALTY = "▁", "<unk>", 10.0
 #: Words, and characters of words, that a worker's cache may hold.
 CACHE_WORDS, CACHE_CHARS = 700_000, 16_000_000
@@ -103,14 +105,9 @@ class Counter(dict):
         return sum(map(self.__getitem__, words))
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    """One counter for each vocabulary and Python worker."""
-    if path not in _counters:
-        _counters[path] = Counter(zipf(path))
-    return _counters[path]
+    """This worker's counter."""
+    return _worker.keep(("token_counts", path), lambda: Counter(zipf(path)))
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
