@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._store import settle
 
 SPACE = r"[\x20\x09-\x0D]+"
-MIN_WORDS, MAX_REPEATED = 50, 50
+MIN_WORDS, MAX_REPEATED, MANY_LINES = 50, 50, 3
 #: What a point multiplies the odds by, and the weight of the prior where hosts' rates don't differ.
 POINT, PRIOR_DOCS = 20.0, 20.0
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -77,10 +77,10 @@ def points(c: Column) -> Column:
     def rule(fails: Column, badly: Column) -> Column:
         return F.when(badly, 2).when(fails, 1).otherwise(0)
 
-    n = c["n_words"]
+    n, many = c["n_words"], c["n_dup_lines"] >= MANY_LINES  # one line twice says nothing of three lines
     return (
         rule(10 * c["n_symbols"] > n, 2 * c["n_symbols"] > n)
-        + rule(10 * c["n_dup_lines"] > 3 * c["n_lines"], 10 * c["n_dup_lines"] > 6 * c["n_lines"])
+        + rule(many & (10 * c["n_dup_lines"] > 3 * c["n_lines"]), many & (10 * c["n_dup_lines"] > 6 * c["n_lines"]))
         + rule(100 * c["n_repeat_words"] > 30 * n, F.lit(False))
         + rule((10 * c["word_chars"] < 25 * n) | (c["word_chars"] > 12 * n), (c["word_chars"] < 2 * n) | (c["word_chars"] > 20 * n))
     )
@@ -156,7 +156,7 @@ WITH d AS (
 ), p AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     CASE WHEN 2 * n_symbols > n_words THEN 2 WHEN 10 * n_symbols > n_words THEN 1 ELSE 0 END
-    + CASE WHEN 10 * n_dup_lines > 6 * n_lines THEN 2 WHEN 10 * n_dup_lines > 3 * n_lines THEN 1 ELSE 0 END
+    + CASE WHEN n_dup_lines < 3 THEN 0 WHEN 10 * n_dup_lines > 6 * n_lines THEN 2 WHEN 10 * n_dup_lines > 3 * n_lines THEN 1 ELSE 0 END
     + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 1 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 2
         WHEN 10 * word_chars < 25 * n_words OR word_chars > 12 * n_words THEN 1 ELSE 0 END AS points
