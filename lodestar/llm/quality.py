@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _worker
 
-FIT_ROWS, SHRINK, TO_POOLED, THRESHOLD = 20_000, 0.05, 0.05, 0.3
+FIT_ROWS, SHRINK, TO_POOLED, THRESHOLD = 20_000, 0.02, 0.5, 0.3
 #: Bytes of the classes that are counted: letters, capitals, digits, marks of prose, other marks.
 _CLASSES = np.zeros((256, 6), np.float64)
 for _b in range(256):
