@@ -19,6 +19,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import _worker
 from .quality import fold
 
 #: Labelled documents of each language that are learned from, rounds, and the smoothing counts.
@@ -228,7 +230,9 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS) -> LanguageModel:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
     ).filter("doc_id is not null and lang is not null").filter(fold(F.col("doc_id"), 4) != 2)
     frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    known = known.join(F.broadcast(frequent.select("lang")), "lang")
+    # twice as many as wanted, by hash, where the rows lie: so few reach the ranking, however frequent the language
+    known = known.join(F.broadcast(frequent), "lang")
+    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(2.0 * fit_docs * (1 << 30)) / F.col("n")).drop("n")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_docs)
     chosen = chosen.select("doc_id", "lang").distinct()  # at most LANGUAGES * fit_docs rows
@@ -255,13 +259,14 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS) -> LanguageModel:
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` (doc_id, text) to (doc_id, lang_pred, score), one row per row, without a shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _worker.keep(("language", name), lambda: LanguageModel(*sent.value.__getstate__()))
         for b in batches:
             found = []
             for k in range(0, b.num_rows, 500):
-                found += sent.value.predict(b["text"][k : k + 500].to_pylist())
+                found += own.predict(b["text"][k : k + 500].to_pylist())
             columns = [b["doc_id"], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 

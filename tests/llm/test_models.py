@@ -71,6 +71,7 @@ def test_language_corners(spark):
 
 def test_long_words_and_a_small_cache(monkeypatch):
     monkeypatch.setattr(language, "CACHE_WORDS", 3)
+    assert language.words_of("½ ² a² ４") == ["a²"]
     counts = {"p": {"then": 5, "there": 3}, "q": {"las": 4, "casa": 2}}
     model = language.learn(counts, language.vocabulary(language.default_path()))
     got = model.predict(["then there", "x" * 3000, "日本語 casa las", None, "12 34"])
