@@ -31,7 +31,7 @@ from .words import alnum_words
 
 WINDOW = 13
 #: Words of a segment, and characters of a block of phrases, which bounds what is broadcast.
-SEGMENT_WORDS, BLOCK_CHARS = 500_000, 16_000_000
+SEGMENT_WORDS, BLOCK_CHARS = 500_000, 2_000_000
 #: Candidates that are looked at together in a segment.
 CANDIDATES = 500_000
 
@@ -112,7 +112,8 @@ def _find(s: Segment, phrases: np.ndarray, sizes: np.ndarray, slop: int) -> Iter
     alive = np.flatnonzero(~(inside & (phrases == -2)).any(axis=1) & (sizes > 0))
     if not len(alive) or not len(s.keys):
         return
-    lengths = np.where(inside[alive], s.counts[np.maximum(phrases[alive], 0)], np.iinfo(np.int64).max)
+    phrases, sizes = phrases[alive].astype(np.int64), sizes[alive]  # few are left: a segment lacks most phrases' terms
+    lengths = np.where(inside[alive], s.counts[np.maximum(phrases, 0)], np.iinfo(np.int64).max)
     order = np.argsort(lengths, axis=1, kind="stable")  # a phrase's terms from the rarest
     n = lengths[np.arange(len(alive)), order[:, 0]]
     groups = np.cumsum(n) // CANDIDATES
@@ -120,7 +121,7 @@ def _find(s: Segment, phrases: np.ndarray, sizes: np.ndarray, slop: int) -> Iter
         at = np.flatnonzero(groups == g)
         of = np.repeat(at, n[at])
         anchor = order[of, 0]
-        term = phrases[alive[of], anchor]
+        term = phrases[of, anchor]
         k = np.arange(len(of)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
         place = s.places[s.first[term] + k] - anchor
         keep = place >= 0
@@ -129,9 +130,9 @@ def _find(s: Segment, phrases: np.ndarray, sizes: np.ndarray, slop: int) -> Iter
             if not len(of):
                 break
             off = order[of, step]
-            more = off < sizes[alive[of]]
-            want = phrases[alive[of], off] * s.span + place + off
-            found = np.searchsorted(s.keys, np.maximum(want - slop, phrases[alive[of], off] * s.span))
+            more = off < sizes[of]
+            want = phrases[of, off] * s.span + place + off
+            found = np.searchsorted(s.keys, np.maximum(want - slop, phrases[of, off] * s.span))
             hit = s.keys[np.minimum(found, len(s.keys) - 1)]
             ok = ~more | ((found < len(s.keys)) & (hit <= want + slop) & (hit >= want - slop))
             of, place = of[ok], place[ok]
@@ -153,7 +154,7 @@ class Phrases:
                 rows.append(cut + [-1] * (window - len(cut)))
                 owner.append(k)
         self.vocabulary = list(number)
-        self.rows = np.array(rows, dtype=np.int64).reshape(-1, window)
+        self.rows = np.array(rows, dtype=np.int32).reshape(-1, window)
         self.owner = np.array(owner, dtype=np.int64)
         self.sizes = (self.rows >= 0).sum(axis=1)
 
@@ -161,7 +162,7 @@ class Phrases:
         """Portions of (document, phrase, place in the segment, words)."""
         if not len(self.rows):
             return
-        local = np.array([*(s.terms.get(w, -2) for w in self.vocabulary), -1], dtype=np.int64)
+        local = np.array([*(s.terms.get(w, -2) for w in self.vocabulary), -1], dtype=np.int32)
         for phrase, place in _find(s, local[self.rows], self.sizes, slop):
             doc = np.searchsorted(s.starts, place, side="right") - 1
             yield doc, phrase, place, self.sizes[phrase]
