@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,10 @@ from ._store import settle
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 2
-#: Values made at a time; fingerprints under one prefix beyond which it is dealt again; bits for that.
-PORTION, HOT, HOT_BITS = 1_000_000, 20_000, 8
-#: Fingerprints expected under one prefix, which sets the prefix's bits between the two bounds.
-PER_PREFIX, LEAST_BITS, MOST_BITS = 4_000, 10, 18
+#: Values made at a time; rows under one prefix, and times the mean, beyond which it is dealt again; bits for that.
+PORTION, HOT, HOT_TIMES, HOT_BITS = 1_000_000, 20_000, 8, 8
+#: Rows expected under one prefix, which sets the prefix's bits between the two bounds.
+PER_PREFIX, LEAST_BITS, MOST_BITS = 16_000, 10, 24
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -129,8 +130,18 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _links(distinct: DataFrame, bits: int, radius: int) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints of ``distinct`` (fp) within 2 * radius bits."""
+def _reach(bits: int, radius: int) -> int:
+    """Prefixes of so many bits that a ball touches."""
+    return sum(comb(bits, r) for r in range(radius + 1))
+
+
+def _prefix_bits(n: int, radius: int) -> int:
+    """The fewest bits with which ``n`` fingerprints make at most ``PER_PREFIX`` rows a prefix."""
+    return next((b for b in range(LEAST_BITS, MOST_BITS) if n * _reach(b, radius) <= PER_PREFIX << b), MOST_BITS)
+
+
+def _links(distinct: DataFrame, n: int, bits: int, radius: int) -> DataFrame:
+    """Edges (a, b) that connect all ``n`` fingerprints of ``distinct`` (fp) within 2 * radius bits."""
 
     def dealt(rows: DataFrame, width: int, shift: int) -> DataFrame:
         """Each row once for every value of its next ``width`` bits that it may still reach."""
@@ -142,8 +153,9 @@ def _links(distinct: DataFrame, bits: int, radius: int) -> DataFrame:
 
     start = distinct.select("fp", F.lit(radius).alias("left"), F.lit(0).cast("long").alias("key"))
     rows = dealt(start, bits, 64 - bits)
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key")
-    # at most one in HOT of the rows, and never more than 2 ** bits keys of eight bytes: 2 MB
+    many = max(HOT, HOT_TIMES * n * _reach(bits, radius) >> bits)
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > many).select("key")
+    # keys with HOT_TIMES the mean are at most 2 ** MOST_BITS / HOT_TIMES, of eight bytes each: 16 MB
     rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
     again = dealt(rows.filter("hot").select("fp", "left", "key"), HOT_BITS, 64 - bits - HOT_BITS)
     rows = rows.filter("hot is null").select("fp", "left", "key", "bits").unionByName(again)
@@ -195,8 +207,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = settle(fingerprints(docs), "fingerprints")
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     n = distinct.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (n // PER_PREFIX).bit_length()))
-    nodes = components(_links(distinct.select("fp"), bits, radius))
+    nodes = components(_links(distinct.select("fp"), n, _prefix_bits(n, radius), radius))
     nodes = nodes.withColumnRenamed("node", "fp")
     # only fingerprints with links need a join; the others are their own component
     linked = settle(distinct.join(nodes, "fp", "left"), "linked-fingerprints")

@@ -73,7 +73,7 @@ def clouds(n, size, seed):
 
 def linked(spark, prints, bits):
     rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in set(prints)], "fp long")
-    found = {r["node"]: r["root"] for r in components(simhash._links(rows, bits, 2)).collect()}
+    found = {r["node"]: r["root"] for r in components(simhash._links(rows, rows.count(), bits, 2)).collect()}
     groups = {}
     for x in set(prints):
         x = x - (1 << 64) if x >> 63 else x
@@ -110,6 +110,10 @@ def test_hot_prefixes_and_portions(spark, monkeypatch):
     assert len(set(whole.tolist())) == len(want)
 
 
+def test_prefixes_grow_with_the_table():
+    assert [simhash._prefix_bits(n, 2) for n in (0, 1000, 250_000, 15_000_000, 10**12)] == [10, 10, 10, 18, 24]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
