@@ -32,8 +32,9 @@ from ._store import new_path, settle
 
 MAGIC = b"LODEFSG1"
 _HEAD = struct.Struct("<8sQQQB7x")
-#: Ids that a segment holds before the next begins, and characters that a range of documents holds.
-SEGMENT_IDS, RANGE_CHARS = 4_000_000, 12_000_000
+#: Ids that a segment holds before the next begins; characters that a range of documents holds, and the
+#: most ranges (beyond them, ranges grow; a task still holds one segment).
+SEGMENT_IDS, RANGE_CHARS, MOST_RANGES = 4_000_000, 12_000_000, 20_000
 
 
 def segment_bytes(number: int, doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -78,7 +79,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.EN
     docs = docs.withColumn("tie", F.xxhash64("text"))
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     keys = ["doc_id", "tie", "text"]
-    ranged = docs.repartitionByRange(1 + chars // RANGE_CHARS, *keys[:2]).sortWithinPartitions(*keys)
+    ranged = docs.repartitionByRange(min(MOST_RANGES, 1 + chars // RANGE_CHARS), *keys[:2]).sortWithinPartitions(*keys)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
