@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Per-channel statistics of the evaluation transform, in RGB order: fixed values.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+#: Training augmentation: area of a crop, chances of the two flips, strength of brightness, contrast,
+#: saturation and hue, degrees of rotation: fixed values.
+CROP_SCALE, FLIP_X, FLIP_Y, JITTER, DEGREES = (0.8, 1.0), 0.5, 0.1, (0.3, 0.3, 0.3, 0.1), 15
 
 
 def pixels(tiles: DataFrame, size: int, image: str = "image", values: str = "values") -> DataFrame:
@@ -91,7 +94,7 @@ def to_tensor(img: np.ndarray, size: int = 224) -> np.ndarray:
     return ((x - np.array(MEAN)) / np.array(STD)).transpose(2, 0, 1)
 
 
-def random_resized_crop(img: np.ndarray, rng: np.random.Generator, size: int = 224, scale: tuple = (0.8, 1.0)) -> np.ndarray:
+def random_resized_crop(img: np.ndarray, rng: np.random.Generator, size: int = 224, scale: tuple = CROP_SCALE) -> np.ndarray:
     h, w = img.shape[:2]
     for _ in range(10):
         area = h * w * rng.uniform(*scale)
@@ -103,7 +106,7 @@ def random_resized_crop(img: np.ndarray, rng: np.random.Generator, size: int = 2
     return resize(img, size, size)
 
 
-def color_jitter(img: np.ndarray, rng: np.random.Generator, strength: tuple = (0.3, 0.3, 0.3, 0.1)) -> np.ndarray:
+def color_jitter(img: np.ndarray, rng: np.random.Generator, strength: tuple = JITTER) -> np.ndarray:
     """Brightness, contrast, saturation and hue in a drawn order."""
     gray = lambda x: x @ np.array([0.299, 0.587, 0.114])
     factors = [rng.uniform(max(0, 1 - s), 1 + s) for s in strength[:3]] + [rng.uniform(-strength[3], strength[3])]
@@ -141,9 +144,9 @@ def rotate(img: np.ndarray, degrees: float) -> np.ndarray:
 def augment(img: np.ndarray, rng: np.random.Generator, size: int = 224) -> np.ndarray:
     """Training augmentation: crop, flips, colours, rotation, in this order."""
     img = random_resized_crop(img, rng, size)
-    img = img[:, ::-1] if rng.random() < 0.5 else img
-    img = img[::-1] if rng.random() < 0.1 else img
-    return rotate(color_jitter(img, rng), rng.uniform(-15, 15))
+    img = img[:, ::-1] if rng.random() < FLIP_X else img
+    img = img[::-1] if rng.random() < FLIP_Y else img
+    return rotate(color_jitter(img, rng), rng.uniform(-DEGREES, DEGREES))
 
 
 def composite(img: np.ndarray, mask: np.ndarray, background: np.ndarray, size: int = 224) -> np.ndarray:
