@@ -124,11 +124,29 @@ def log_frame(spark: SparkSession, log: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in names) for r in log], LOG_SCHEMA)
 
 
-#: The space of a search: bounds of draws, and choices.
+#: The default space of a search, bounds of draws and choices: fixed values.
 SPACE = {
-    "epochs": ("int", 1, 50), "lr": ("log", 1e-6, 1e-3), "weight_decay": ("log", 1e-6, 1e-2), "margin": ("float", 0.1, 1.0), "dropout": ("float", 0.0, 0.5),
-    "output_dim": ("choice", 64, 128, 256, 512), "hidden_dim": ("choice", 0, 256, 512), "P": ("choice", 4, 8, 12, 16), "K": ("choice", 2, 4),
-}
+    "epochs": ("int", 1, 50),
+    "lr": ("log", 1e-6, 1e-4),
+    "weight_decay": ("log", 1e-7, 1e-4),
+    "margin": ("float", 0.5, 2.0),
+    "dropout": ("float", 0.0, 0.5),
+    "output_dim": ("choice", 32, 64, 128, 256),
+    "hidden_dim": ("choice", 256, 512),
+    "P": ("choice", 4, 8, 16, 32),
+    "K": ("choice", 4, 8, 16),
+}
+
+
+def space_of(tree: dict) -> dict:
+    """The space with the lists of a nested mapping, as a YAML file of a search has them."""
+    found = dict(SPACE)
+    for key, value in tree.items():
+        if isinstance(value, dict):
+            found |= {k: v for k, v in space_of(value).items() if v != SPACE[k]}
+        elif key in SPACE and isinstance(value, (list, tuple)):
+            found[key] = (SPACE[key][0], *value)
+    return found
 
 
 def trials(spark: SparkSession, n: int, space: dict = SPACE, seed: int = 42) -> DataFrame:

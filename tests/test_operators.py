@@ -227,7 +227,9 @@ def test_search_picks_the_best(spark):
     top = training.best(rows).first()
     assert top["objective"] == max(r["objective"] for r in rows.collect())
     for r in rows.collect():
-        assert 1 <= r["epochs"] <= 50 and 1e-6 <= r["lr"] <= 1e-3 and r["P"] in (4, 8, 12, 16)
+        assert 1 <= r["epochs"] <= 50 and 1e-6 <= r["lr"] <= 1e-4 and r["P"] in (4, 8, 16, 32)
+    space = training.space_of({"data": {"sampler": {"P": [2, 3]}}, "training": {"margin": [0.1, 0.2], "device": "cpu"}, "n_trials": 9})
+    assert (space["P"], space["margin"], space["K"]) == (("choice", 2, 3), ("float", 0.1, 0.2), ("choice", 4, 8, 16))
 
 
 def test_sampled_backgrounds_and_resume(spark):
