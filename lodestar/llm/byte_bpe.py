@@ -82,18 +82,18 @@ class Encoder:
         plain, odd, loose = [], [], np.zeros(len(chunks), bool)
         for k, x in enumerate(chunks):
             y = x if x.isascii() else x.decode()
-            if x and y.strip() == y and not y[-1:].isspace():
+            if y and y.strip() == y:
                 plain.append(k)
             else:
                 odd.append(k)
                 loose[k] = not y.strip() or y[-1:].isspace()
         flat, counts = self._together([chunks[k] for k in plain])
-        size, begin, ids = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), []
+        size, begin = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         size[plain], begin[plain] = counts, np.cumsum(counts) - counts
-        for k in odd:
-            x = chunks[k].decode()
-            ids.append(self._ids(x[1:] if x[:1] == " " else " " + x) if x != " " else flat[:0])
-            size[k] = len(ids[-1])
+        # the others mostly are texts' first chunks, which no space precedes
+        texts = [x[1:] if x[:1] == " " else " " + x for x in (chunks[k].decode() for k in odd)]
+        ids = [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size[odd] = [len(x) for x in ids]
         begin[odd] = len(flat) + np.cumsum(size[odd]) - size[odd]
         self.begin = np.concatenate([self.begin, begin + len(self.flat)])
         self.size = np.concatenate([self.size, size])
