@@ -4,6 +4,10 @@ The vocabulary's pre-tokenizer never joins characters across a space that follow
 non-space, so a text falls apart at such spaces into chunks whose ids do not depend on each other.
 Chunks that are new to a worker are encoded by the library, many in one call; repeated ones come
 from a bounded cache. Texts with a space inside a run of white space are encoded whole.
+
+With ``added``, as the queries and the pipeline have it, the vocabulary's added tokens
+(``<|endoftext|>``) get their own ids where a text holds them, as the library does by default; such
+texts are encoded whole too. Without, they are text like any other.
 """
 
 from __future__ import annotations
@@ -45,12 +49,14 @@ class _Numbers(dict):
 class Encoder:
     """``encode_many(texts)`` gives the ids of whole texts as bytes, little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        #: Added tokens that get their own ids.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         # every character of a byte-level token stands for one byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, k in self.tokenizer.get_vocab().items():
@@ -106,8 +112,9 @@ class Encoder:
         if len(self.numbers) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
             self._forget()
         numbers, counts, found = self.numbers, [], []
-        for text in texts:
-            parts = text.encode().split(b" ")
+        whole = {k for k, text in enumerate(texts) if any(x in text for x in self.added)}
+        for k, text in enumerate(texts):
+            parts = (b"" if k in whole else text.encode()).split(b" ")
             parts[0] = b" " + parts[0]
             counts.append(len(parts))
             found.append(np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)))
@@ -122,8 +129,8 @@ class Encoder:
         last = np.cumsum(counts)
         cuts = [0, *(4 * ends[last - 1]).tolist()]
         out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        for k in np.flatnonzero(np.add.reduceat(self.loose[found], last - counts)).tolist():
-            if _INSIDE_RUN.search(texts[k]):
+        for k in whole.union(np.flatnonzero(np.add.reduceat(self.loose[found], last - counts)).tolist()):
+            if k in whole or _INSIDE_RUN.search(texts[k]):
                 out[k] = self._ids(texts[k]).tobytes()
         return out
 
@@ -139,6 +146,6 @@ class Encoder:
         yield from zip((k for k, _ in group), self.encode_many([x for _, x in group]), strict=True)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """This worker's encoder."""
-    return _worker.keep(("byte_bpe", path), lambda: Encoder(path))
+    return _worker.keep(("byte_bpe", path, added), lambda: Encoder(path, added))

@@ -59,4 +59,4 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids."""
-    return packing.pack(docs, byte_bpe.default_path(), keep_ids=False).drop("ids")
+    return packing.pack(docs, byte_bpe.default_path(), keep_ids=False, added=True).drop("ids")

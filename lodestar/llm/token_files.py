@@ -70,8 +70,8 @@ class Segment:
         return self.ids[start:end]
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.END_ID) -> None:
-    """Encode ``docs`` (doc_id, text) and write the segments to ``path``.
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.END_ID, added: bool = False) -> None:
+    """Encode ``docs`` (doc_id, text) and write the segments to ``path``. added: as in ``byte_bpe``.
 
     One shuffle of the texts by range of ``doc_id``; a task holds one segment's ids at a time.
     """
@@ -83,7 +83,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.EN
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_bpe.encoder(vocabulary)
+        coder = byte_bpe.encoder(vocabulary, added)
         width = 2 if len(coder.n_bytes) <= 1 << 16 else 4
         part, k, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
         rows = ((key.as_py(), text.as_py()) for b in batches for key, text in zip(b["doc_id"], b["text"], strict=True))
@@ -141,5 +141,5 @@ def with_starts(documents: DataFrame) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` written as token files and read back."""
     path = new_path(spark, "token-files")
-    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, byte_bpe.default_path())
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, byte_bpe.default_path(), added=True)
     return with_starts(read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
