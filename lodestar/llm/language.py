@@ -30,18 +30,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import _worker
+from ._store import settle
 from .quality import fold
 
 #: Labelled documents of each language that are learned from, rounds, and the smoothing counts.
 FIT_DOCS, ROUNDS, SMOOTH = 400, 2, 0.1
-#: Languages that are learned: the most frequent ones.
-LANGUAGES = 200
+#: Languages that are learned, and that go through the forward pass, at a time.
+BLOCK = 50
 #: Characters of the longest piece; log probability of a character that no piece covers.
 PIECE_CHARS, UNKNOWN = 12, -16.0
 #: Log factor of a character in the forward pass, and slots of a hash table of pieces.
 LIFT, _SLOTS = 8.0, 1 << 18
-#: Words in a worker's cache; characters of a word that are kept together (longer ones are cut).
-CACHE_WORDS, WORD_CHARS = 500_000, 64
+#: Words in a worker's cache, if they have no more values than CACHE_VALUES, one a language; characters of a word that are kept together (longer ones are cut).
+CACHE_WORDS, CACHE_VALUES, WORD_CHARS = 500_000, 4_000_000, 64
 MARK = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -132,12 +133,27 @@ def _lifted(table: np.ndarray, pieces: list[str]) -> np.ndarray:
     return np.concatenate([np.exp(table + LIFT * sizes[:, None]), np.zeros((1, table.shape[1]))])
 
 
-def _forward(matcher: Matcher, words: list[str], lifted: np.ndarray) -> tuple[np.ndarray, list]:
+def _portions(found: list[list[str]], most: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """(text, words of it) in lists that hold at most ``most`` words; a longer text's words come in several."""
+    part, held = [], 0
+    for k, words in enumerate(found):
+        for i in range(0, len(words), most):
+            cut = words[i : i + most]
+            if part and held + len(cut) > most:
+                yield part
+                part, held = [], 0
+            part.append((k, cut))
+            held += len(cut)
+    if part:
+        yield part
+
+
+def _forward(matcher: Matcher, words: list[str], lifted: np.ndarray, spans: list | None = None) -> tuple[np.ndarray, list]:
     """Forward values (place, word, language), times exp(LIFT * place), and the spans they were made from."""
     n = len(words[0])
     alpha = np.zeros((n + 1, len(words), lifted.shape[1]))
     alpha[0] = 1
-    spans = list(matcher.spans(words))
+    spans = list(matcher.spans(words)) if spans is None else spans
     for start, end, piece in spans:
         alpha[end] += alpha[start] * lifted[piece]
         if start == end - 1:  # the last span of an end: a character alone, where nothing else led there
@@ -164,32 +180,44 @@ class LanguageModel:
     def log_likelihoods(self, words: list[str]) -> np.ndarray:
         if self._matcher is None:
             self._matcher, self._lifted = Matcher(self.pieces), _lifted(self.table, self.pieces)
-        out = np.empty((len(words), len(self.languages)))
+        n = len(self.languages)
+        out = np.empty((len(words), n))
         place = {w: k for k, w in enumerate(words)}
-        for same in _by_length(words):
-            alpha, _ = _forward(self._matcher, [MARK + w for w in same], self._lifted)
-            out[[place[w] for w in same]] = np.log(alpha[-1]) - LIFT * (len(same[0]) + 1)
+        for same in _by_length(words, min(20_000, 80_000 // min(n, BLOCK))):
+            at, marked = [place[w] for w in same], [MARK + w for w in same]
+            spans = list(self._matcher.spans(marked))
+            for k in range(0, n, BLOCK):
+                alpha, _ = _forward(self._matcher, marked, self._lifted[:, k : k + BLOCK], spans)
+                out[at, k : k + BLOCK] = np.log(alpha[-1]) - LIFT * (len(same[0]) + 1)
         return out
 
+    def _places(self, words: list[str], cache_words: int) -> None:
+        """Score those of the words that the cache lacks."""
+        new = [w for w in set(words) if w not in self.number]
+        if len(self.number) + len(new) > cache_words and self.number:
+            self.number, self.rows = {}, self.rows[:0]
+            new = list(set(words))
+        if new:
+            self.number.update((w, len(self.rows) + k) for k, w in enumerate(new))
+            self.rows = np.concatenate([self.rows, self.log_likelihoods(new)])
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior probability of each text, all languages equal beforehand."""
         found = [words_of(x) for x in texts]
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        new = [w for w in set().union(*found) if w not in self.number] if found else []
-        if len(self.number) + len(new) > CACHE_WORDS and self.number:
-            self.number, self.rows = {}, self.rows[:0]
-            new = list(set().union(*found))
-        if new:
-            self.number.update((w, len(self.rows) + k) for k, w in enumerate(new))
-            self.rows = np.concatenate([self.rows, self.log_likelihoods(new)])
+        most = max(1, CACHE_VALUES // len(self.languages))
+        totals = np.zeros((len(texts), len(self.languages)))
+        for part in _portions(found, most):
+            self._places([w for _, words in part for w in words], min(CACHE_WORDS, most))
+            for k, words in part:
+                at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+                totals[k] += self.rows[at].sum(axis=0)
         out = []
-        for words in found:
+        for words, total in zip(found, totals, strict=True):
             if not words:
                 out.append(("und", 0.0))
                 continue
-            at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-            total = self.rows[at].sum(axis=0)
             best = int(np.argmax(total))
             out.append((self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())))
         return out
@@ -200,14 +228,14 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
     languages = sorted(counts)
     matcher = Matcher(pieces)
     table = np.full((len(pieces), len(languages)), -np.log(len(pieces)))
-    for _ in range(rounds + 1):
-        expected = np.full((len(pieces) + 1, len(languages)), SMOOTH)
-        lifted = _lifted(table, pieces)
-        for k, lang in enumerate(languages):
-            one = lifted[:, k]
+    for k, lang in enumerate(languages):
+        for _ in range(rounds + 1):
+            expected = np.full(len(pieces) + 1, SMOOTH)
+            lifted = _lifted(table[:, k : k + 1], pieces)
+            one = lifted[:, 0]
             for same in _by_length(list(counts[lang])):
                 weight = np.array([counts[lang][w] for w in same], dtype=np.float64)
-                alpha, spans = _forward(matcher, [MARK + w for w in same], lifted[:, k : k + 1])
+                alpha, spans = _forward(matcher, [MARK + w for w in same], lifted)
                 alpha = alpha[:, :, 0]
                 beta = np.zeros_like(alpha)
                 beta[-1] = 1
@@ -219,23 +247,31 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
                         beta[start] += lone[end] * np.exp(UNKNOWN + LIFT) * beta[end]
                     step = one[piece] * beta[end]
                     beta[start] += step
-                    expected[:, k] += np.bincount(piece, alpha[start] * step / alpha[-1] * weight, len(pieces) + 1)
-        table = np.log(expected[:-1] / expected[:-1].sum(axis=0))
+                    expected += np.bincount(piece, alpha[start] * step / alpha[-1] * weight, len(pieces) + 1)
+            table[:, k] = np.log(expected[:-1] / expected[:-1].sum())
     return LanguageModel(pieces, languages, table)
 
 
 def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """From ``docs`` (doc_id, text, lang) outside fold 2 of 4: ``fit_docs`` documents of each language."""
+    """From ``docs`` (doc_id, text, lang) outside fold 2 of 4: ``fit_docs`` documents of each language.
+
+    Every language is learned, BLOCK of them at a time; the driver and a worker hold a number a piece
+    for each, a worker twice.
+    """
     known = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
     ).filter("doc_id is not null and lang is not null").filter(fold(F.col("doc_id"), 4) != 2)
-    frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(draw.alias("draw"), "doc_id")).getField("doc_id").alias("first"))
+    found = sizes.collect()
+    sizes = docs.sparkSession.createDataFrame(found, sizes.schema)
     # twice as many as wanted, by hash, where the rows lie: so few reach the ranking, however frequent the language
-    known = known.join(F.broadcast(frequent), "lang")
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(2.0 * fit_docs * (1 << 30)) / F.col("n")).drop("n")
+    known = known.join(F.broadcast(sizes), "lang")
+    kept = (draw < F.lit(2.0 * fit_docs * (1 << 30)) / F.col("n")) | (F.col("doc_id") == F.col("first"))  # one at least
+    known = known.filter(kept).drop("n", "first")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_docs)
-    chosen = chosen.select("doc_id", "lang").distinct()  # at most LANGUAGES * fit_docs rows
+    chosen = chosen.select("doc_id", "lang").distinct()  # at most fit_docs rows a language
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
@@ -251,10 +287,16 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS) -> LanguageModel:
 
     rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     rows = rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in rows.toPandas().sort_values(["lang", "word"]).itertuples(index=False):
-        counts.setdefault(lang, {})[word] = int(n)
-    return learn(counts, vocabulary(path))
+    names, pieces, models = sorted(r["lang"] for r in found), vocabulary(path), []
+    if len(names) > BLOCK:
+        rows = settle(rows, "language-words")
+    for k in range(0, len(names) or 1, BLOCK):
+        own = rows.filter(F.col("lang").isin(names[k : k + BLOCK])) if len(names) > BLOCK else rows
+        counts: dict[str, dict[str, int]] = {}
+        for lang, word, n in own.toPandas().sort_values(["lang", "word"]).itertuples(index=False):
+            counts.setdefault(lang, {})[word] = int(n)
+        models.append(learn(counts, pieces))
+    return LanguageModel(pieces, [x for m in models for x in m.languages], np.concatenate([m.table for m in models], axis=1))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
