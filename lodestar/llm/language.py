@@ -37,8 +37,8 @@ from .quality import fold
 FIT_DOCS, ROUNDS, SMOOTH = 400, 2, 0.1
 #: Languages that are learned, and that go through the forward pass, at a time.
 BLOCK = 50
-#: Characters of the longest piece; log probability of a character that no piece covers.
-PIECE_CHARS, UNKNOWN = 12, -16.0
+#: Log probability of a character that no piece covers.
+UNKNOWN = -16.0
 #: Log factor of a character in the forward pass, and slots of a hash table of pieces.
 LIFT, _SLOTS = 8.0, 1 << 18
 #: Words in a worker's cache, if they have no more values than CACHE_VALUES, one a language; characters of a word that are kept together (longer ones are cut).
@@ -60,7 +60,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(k) for k in range(model.get_piece_size()))
-    body = (p for p in pieces if len(p) <= PIECE_CHARS and _LETTERS.fullmatch(p.removeprefix(MARK) or "a"))
+    body = (p for p in pieces if _LETTERS.fullmatch(p.removeprefix(MARK) or "a"))
     return sorted({p for p in body if p == p.lower()})
 
 
@@ -78,10 +78,11 @@ class Matcher:
 
     def __init__(self, pieces: list[str]):
         with np.errstate(over="ignore"):
-            self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(WORD_CHARS + 3)], dtype=np.uint64)
+            self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(max([WORD_CHARS + 2, *map(len, pieces)]) + 1)], dtype=np.uint64)
             hashes = np.array([self._prefixes([p])[0, -1] for p in pieces], dtype=np.uint64)
         self.none = len(pieces)
         self.sizes = {len(p) for p in pieces}
+        self.longest = max(self.sizes, default=1)
         #: Hash tables one after the other: what finds its slot taken goes to the next, by other bits.
         self.levels, left = [], np.arange(len(pieces))
         old = np.seterr(over="ignore")
@@ -108,7 +109,7 @@ class Matcher:
         with np.errstate(over="ignore"):
             prefix = self._prefixes(words)
             for end in range(1, prefix.shape[1]):
-                for start in range(max(0, end - PIECE_CHARS), end):
+                for start in range(max(0, end - self.longest), end):
                     if end - start in self.sizes:
                         want = prefix[:, end] - prefix[:, start] * self.powers[end - start]
                         found, mixed = self.none, want * _MIX

@@ -35,3 +35,11 @@ def test_blocks_and_portions_change_nothing(monkeypatch):
     got = language.LanguageModel(*model.__getstate__()).predict(texts)
     assert [x for x, _ in got] == [x for x, _ in want]
     assert np.allclose([x for _, x in got], [x for _, x in want])
+
+
+def test_long_pieces_count():
+    pieces = language.vocabulary(language.default_path())
+    assert {language.MARK + "relationship", language.MARK + "international"} <= set(pieces)
+    own = sorted({language.MARK, *"relationship", language.MARK + "relationship"})
+    model = language.LanguageModel(own, ["x"], np.log(np.full((len(own), 1), 0.1)))
+    assert np.allclose(np.exp(model.log_likelihoods(["relationship"])), 0.1 + 0.1**13)
