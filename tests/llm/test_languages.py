@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
+import time
+import zlib
 
 import numpy as np
+import pytest
 
 from lodestar.llm import language
 from lodestar.llm.quality import fold
+from lodestar.llm.queries import QUERIES
 
 
 def test_more_languages_than_two_hundred(spark):
@@ -43,3 +48,131 @@ def test_long_pieces_count():
     own = sorted({language.MARK, *"relationship", language.MARK + "relationship"})
     model = language.LanguageModel(own, ["x"], np.log(np.full((len(own), 1), 0.1)))
     assert np.allclose(np.exp(model.log_likelihoods(["relationship"])), 0.1 + 0.1**13)
+
+
+def log_add(values):
+    top = max(values)
+    return top + math.log(sum(math.exp(x - top) for x in values))
+
+
+def plain_passes(word, logs):
+    """Forward and backward log values of a marked word, and its steps (start, end, piece), one word at a time."""
+    n, longest = len(word), max(map(len, logs))
+    forward, steps = [0.0], []
+    for end in range(1, n + 1):
+        own = [(s, end, word[s:end]) for s in range(max(0, end - longest), end) if word[s:end] in logs and forward[s] > -math.inf]
+        own = own or [(end - 1, end, None)]
+        steps += own
+        forward.append(log_add([forward[s] + (language.UNKNOWN if p is None else logs[p]) for s, _, p in own]))
+    backward = [[] for _ in range(n + 1)]
+    backward[n] = [0.0]
+    for s, end, p in reversed(steps):
+        backward[s].append(log_add(backward[end]) + (language.UNKNOWN if p is None else logs[p]) if backward[end] else -math.inf)
+    return forward, [log_add(x) if x else -math.inf for x in backward], steps
+
+
+def plain_learn(counts, pieces):
+    logs = {p: -math.log(len(pieces)) for p in pieces}
+    for _ in range(language.ROUNDS + 1):
+        expected = dict.fromkeys(pieces, language.SMOOTH)
+        for word, n in counts.items():
+            forward, backward, steps = plain_passes(language.MARK + word, logs)
+            for s, end, p in steps:
+                if p is not None:
+                    expected[p] += n * math.exp(forward[s] + logs[p] + backward[end] - forward[-1])
+        total = sum(expected.values())
+        logs = {p: math.log(x / total) for p, x in expected.items()}
+    return logs
+
+
+def plain_words(text):
+    import unicodedata
+
+    out, word = [], ""
+    for c in unicodedata.normalize("NFC", (text or "").lower()):
+        if c.isalpha() or (word and unicodedata.category(c)[0] == "M"):
+            word += c
+        else:
+            out, word = out + [word] * bool(word), ""
+    return out + [word] * bool(word)
+
+
+def cases():
+    rng = random.Random(5)
+    own = {
+        "en": "the of and to in is that for it was on are with his they at be this from have or by one had not".split(),
+        "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur élève garçon".split(),
+        "hi": "और के में की है यह से को पर इस होता कि जो कर मे गया करने किया लिये अपने".split(),
+    }
+    rows = [(k, " ".join(rng.choices(own[lang], k=rng.randint(1, 12))), lang) for k, lang in enumerate(["en", "fr", "hi"] * 14)]
+    rows += [(100, "x" * 150 + " the", "en"), (101, "ก็ที่ไม่ได้ใน" * 20, "th"), (102, "ที่ได้" * 25, "th"), (103, None, "en"), (104, "12 %", "fr"), (105, "e\u0301le\u0300ve", None)]
+    return rows + [rows[0], rows[1], (2, "the", "hi"), (None, "la le les", "fr"), (106, "a" * 100, None)]
+
+
+def test_query_equals_a_plain_version(spark, tmp_path):
+    rows = cases()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces, texts, counts = language.vocabulary(language.default_path()), {}, {}
+    for k, text, lang in rows:
+        if k is not None and lang is not None and zlib.crc32(str(k).encode()) % 4 != 2:
+            texts.setdefault((k, lang), []).append(text)
+    for (_, lang), found in texts.items():
+        for word in plain_words(min((x for x in found if x is not None), default=None)):
+            own = counts.setdefault(lang, {})
+            own[word] = own.get(word, 0) + 1
+    logs = {lang: plain_learn(c, pieces) for lang, c in sorted(counts.items())}
+    got = sorted(QUERIES["op6_language"](spark, str(tmp_path)).collect(), key=repr)
+    want = []
+    for k, text, _ in rows:
+        total = {lang: sum(plain_passes(language.MARK + w, t)[0][-1] for w in plain_words(text)) for lang, t in logs.items()}
+        best = max(total, key=total.get)
+        score = 1 / sum(math.exp(min(0, x - total[best])) for x in total.values())
+        held = k is not None and zlib.crc32(str(k).encode()) % 4 == 2
+        want.append((k, held, best, score) if plain_words(text) else (k, held, "und", 0.0))
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want, key=repr), strict=True):
+        assert tuple(a)[:3] == b[:3] and a["score"] == pytest.approx(b[3], rel=1e-6)
+
+
+def test_words_keep_their_marks():
+    assert language.words_of("हिन्दी में, ไม่ได้ e\u0301t\u0301 ½ x_y a1b \u0301") == ["हिन्दी", "में", "ไม่ได้", "ét\u0301", "x", "y", "a", "b"]
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "É", " ", "1", "न", "्", "म", "٣", "ß", "_", "日", "\u0301", "İ", "ª"]) for _ in range(12))
+        assert language.words_of(text) == plain_words(text)
+
+
+def test_long_words_are_not_cut(monkeypatch):
+    """Words on either side of SHORT, across stretches, learned from and scored like any other."""
+    words = ["ab" * 20, "abc" * 30, "日本語" * 40, "internationalrelationships" * 6, "z" * 130]
+    pieces = [p for p in language.vocabulary(language.default_path()) if set(p) <= set("▁abcinterationlshp")]
+    counts = {"p": {w: k + 1 for k, w in enumerate(words)}, "q": {"ab": 3, "national": 2}}
+    logs = {lang: plain_learn(c, pieces) for lang, c in counts.items()}
+    want = [[plain_passes(language.MARK + w, logs[k])[0][-1] for k in ("p", "q")] for w in words]
+    for short, stretch in ((64, 1 << 16), (64, 7), (10, 33)):
+        monkeypatch.setattr(language, "SHORT", short)
+        monkeypatch.setattr(language, "STRETCH", stretch)
+        model = language.learn(counts, pieces)
+        assert np.allclose(model.table, np.array([[logs[k][p] for k in ("p", "q")] for p in pieces]), atol=1e-9)
+        assert np.allclose(model.log_likelihoods(words), want)
+
+
+def test_very_long_words_take_time_in_proportion():
+    model = language.learn({"p": {"then": 2}, "q": {"casa": 1}}, language.vocabulary(language.default_path()))
+    model.predict(["warm up"])
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        model.predict(["th" * (n // 2)])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    rows = [(8 * k, f"word{chr(97 + k)}", "x") for k in range(26)] + [(1, "again", "x")] * 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    fit = {k: w for k, w, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2}
+    found = {r["word"]: r["n"] for r in language.sample(docs).collect()}
+    assert found == dict.fromkeys(fit.values(), 1)
+    some = language.sample(docs, 5).collect()
+    assert 1 <= sum(r["n"] for r in some) <= 5
