@@ -14,7 +14,8 @@ no pairs within a group are listed.
 Nulls and corners: null, empty and blank texts have no words and fingerprint 0, which links like any
 other. Fewer than four words make one shingle. Rows with the same fingerprint link at distance 0,
 repeated rows included; a row without doc_id gets a component too, whose id is the least doc_id
-that is not null (null if there is none). Other columns are ignored.
+that is not null (null if there is none). A very long text is hashed in portions of 65,536 shingles.
+An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _worker
-from ._store import settle
+from lodestar.sources.shared import settle
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 2
@@ -38,6 +40,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 2
 PORTION, HOT, HOT_TIMES, HOT_BITS = 1_000_000, 20_000, 8, 8
 #: Rows expected under one prefix, which sets the prefix's bits between the two bounds.
 PER_PREFIX, LEAST_BITS, MOST_BITS = 16_000, 10, 24
+#: Components, of 16 bytes each, that are broadcast: those with more than this share of all linked fingerprints.
+BIG_ROOTS = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -61,18 +65,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(set_bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, text) to (doc_id, fp); fp: the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, name: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` (text, more) with all its columns and ``name``: the text's fingerprint as a signed long."""
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _worker.release()
         for b in batches:
-            fp = np.array([fingerprint(x.as_py(), shingle, seed) for x in b["text"]], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(x.as_py(), shingle, seed) for x in b.column(at)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=schema.names)
         _worker.release()
 
+    return docs.mapInArrow(run, schema)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` (doc_id, text) to (doc_id, fp)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return with_fingerprints(docs, "fp", shingle, seed).drop("text")
 
 
 @cache
@@ -202,19 +213,36 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
     yield from done()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` (doc_id, text) to (doc_id, fp, component_id), one row per row."""
-    prints = settle(fingerprints(docs), "fingerprints")
+def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``prints`` (doc_id, fp), a settled table, to (fp, component_id), one row a fingerprint."""
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     n = distinct.count()
     nodes = components(_links(distinct.select("fp"), n, _prefix_bits(n, radius), radius))
     nodes = nodes.withColumnRenamed("node", "fp")
     # only fingerprints with links need a join; the others are their own component
     linked = settle(distinct.join(nodes, "fp", "left"), "linked-fingerprints")
-    ids = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.filter("root is not null").select("fp", "root").join(ids, "root").select("fp", "component_id")
     alone = linked.filter("root is null").select("fp", F.col("least").alias("component_id"))
-    return prints.join(named.unionByName(alone), "fp", "left").select("doc_id", "fp", "component_id")
+    return alone.unionByName(_least_of(linked.filter("root is not null")))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` (doc_id, text) to (doc_id, fp, component_id), one row per row."""
+    prints = settle(fingerprints(docs), "fingerprints")
+    return prints.join(groups(prints, radius), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _least_of(linked: DataFrame) -> DataFrame:
+    """(fp, root, least) to (fp, component_id): the least of ``least`` over a root's rows.
+
+    A root with more than a BIG_ROOTS-th of the rows is one of at most BIG_ROOTS, so those are
+    broadcast, and their rows stay where they are; only the rows of small roots meet by root.
+    """
+    ids = settle(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    many = (ids.agg(F.sum("n").alias("n")).first()["n"] or 0) // BIG_ROOTS
+    big = ids.filter(F.col("n") > many).select("root", F.col("component_id").alias("of_big"), F.lit(True).alias("big"))
+    rows = linked.select("fp", "root").join(F.broadcast(big), "root", "left")
+    small = rows.filter("big is null").select("fp", "root").join(ids.filter(F.col("n") <= many), "root")
+    return rows.filter("big").select("fp", F.col("of_big").alias("component_id")).unionByName(small.select("fp", "component_id"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
