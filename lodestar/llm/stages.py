@@ -1,4 +1,13 @@
-"""The operators as steps of a pipeline: documents in, documents out."""
+"""The operators as steps of a pipeline: documents in, documents out.
+
+Nulls and corners, for every stage: a null text counts as an empty one, so the rules reject it (no
+words) and, had it got that far, it would be a near-duplicate of other wordless texts, never
+contaminated, and packed as one end id. Rows without or with the same doc_id are rows of their own:
+no stage joins by doc_id but the classifier's fit, which reads labels. Repeated rows are copies of
+each other, of which one stays; ties between copies go to the first row in the table. Very long
+texts are worked on whole. An empty table, or empty labels or benchmark, gives no row, or rejects
+none. Stages but the last keep all columns, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, host_rules, packing, quality, simhash
-from ._store import settle
+from lodestar.sources.shared import settle
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -34,26 +43,29 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates.
 
-    Rows get numbers of their own, written once with the rows, so repeated or missing ids don't
-    matter. The texts are shuffled once, by those numbers, unless the kept numbers are few.
+    Rows get numbers of their own, written once with the rows and their fingerprints, so repeated or
+    missing ids don't matter. The numbers of the rows that go are written before the rows meet them:
+    texts are shuffled by number only where those are too many for Spark to broadcast.
     """
     row = _fresh(docs, "row")
-    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = simhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*_own(docs))
+    fp = f"{row}_fp"
+    rows = settle(simhash.with_fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), fp), "numbered")
+    prints = rows.select(F.col(row).alias("doc_id"), F.col(fp).alias("fp"))
+    gone = prints.join(simhash.groups(prints), "fp").filter("doc_id != component_id").select(F.col("doc_id").alias(row))
+    return rows.join(settle(gone, "copies"), row, "left_anti").select(*_own(docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the benchmark doesn't contaminate.
 
-    Contamination depends on the text alone, so the index names a text by its md5, and only the
-    names of contaminated texts are joined back.
+    Contamination depends on the text alone, so the index names a text by its md5. The names of
+    contaminated texts are written before the rows meet them: texts are shuffled only where those
+    are too many for Spark to broadcast.
     """
     name = _fresh(docs, "name")
     index = settle(decontaminate.build_index(docs.select(F.md5("text").alias("doc_id"), "text")), "positional-index")
     found = decontaminate.contamination(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    dirty = settle(found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
     return docs.join(dirty, F.md5("text") == F.col(name), "left_anti").select(*_own(docs))
 
 
