@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import byte_bpe, elias_fano
-from ._store import new_path, settle
+from lodestar.sources.shared import new_path, settle
 
 MAGIC = b"LODEFSG1"
 _HEAD = struct.Struct("<8sQQQB7x")

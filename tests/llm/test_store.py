@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from lodestar.llm import _store, _worker
+from lodestar.llm import _worker
+from lodestar.sources import shared
 
 
 def test_a_worker_keeps_one_cache():
@@ -14,8 +15,8 @@ def test_a_worker_keeps_one_cache():
 
 
 def test_settled_tables_lie_in_the_shared_folder(spark):
-    df = _store.settle(spark.range(5).withColumnRenamed("id", "odd name"), "t")
+    df = shared.settle(spark.range(5).withColumnRenamed("id", "odd name"), "t")
     assert sorted(r[0] for r in df.collect()) == [0, 1, 2, 3, 4]
-    assert all(f.startswith(_store.shared_dir(spark)) for f in df.inputFiles())
-    assert _store.settle(spark.range(0)).count() == 0
+    assert all(f.startswith(shared.shared_dir(spark)) for f in df.inputFiles())
+    assert shared.settle(spark.range(0)).count() == 0
     assert "Scan" in df._jdf.queryExecution().toString() and "Range" not in df._jdf.queryExecution().toString()
