@@ -5,9 +5,8 @@ non-space, so a text falls apart at such spaces into chunks whose ids do not dep
 Chunks that are new to a worker are encoded by the library, many in one call; repeated ones come
 from a bounded cache. Texts with a space inside a run of white space are encoded whole.
 
-With ``added``, as the queries and the pipeline have it, the vocabulary's added tokens
-(``<|endoftext|>``) get their own ids where a text holds them, as the library does by default; such
-texts are encoded whole too. Without, they are text like any other.
+The vocabulary's added tokens (``<|endoftext|>``) get their own ids where a text holds them, as the
+library does by default; such texts are encoded whole too.
 """
 
 from __future__ import annotations
@@ -49,14 +48,12 @@ class _Numbers(dict):
 class Encoder:
     """``encode_many(texts)`` gives the ids of whole texts as bytes, little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        #: Added tokens that get their own ids.
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         # every character of a byte-level token stands for one byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, k in self.tokenizer.get_vocab().items():
@@ -146,6 +143,6 @@ class Encoder:
         yield from zip((k for k, _ in group), self.encode_many([x for _, x in group]), strict=True)
 
 
-def encoder(path: str, added: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """This worker's encoder."""
-    return _worker.keep(("byte_bpe", path, added), lambda: Encoder(path, added))
+    return _worker.keep(("byte_bpe", path), lambda: Encoder(path))

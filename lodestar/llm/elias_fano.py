@@ -2,7 +2,8 @@
 
 Each value is cut into ``low`` low bits, stored side by side, and the rest, stored in unary in one
 bit vector: value i sets bit ``(value >> low) + i``. That takes about ``2 + log2(universe / n)``
-bits a value. Every ``SAMPLE``-th set bit's place is kept, so ``select`` scans a short stretch only.
+bits a value. Every ``SAMPLE``-th set bit's place is kept, as a 32-bit number, so ``select`` scans a
+short stretch only. A sequence has fewer than 2**30 values.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ import struct
 import numpy as np
 
 SAMPLE = 256
+#: Set bits of a byte, and the place of its k-th.
+_SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES, _KTH = _SET.sum(axis=1).astype(np.int64), np.argsort(-_SET.astype(np.int64), axis=1, kind="stable")
 _HEAD = struct.Struct("<QQB7xQQ")  # values, universe, low bits, bytes of low part, bytes of high part
 
 
@@ -29,12 +33,12 @@ def dump(values: np.ndarray, universe: int) -> bytes:
     high = np.zeros((int(universe) >> low) + n + 1, dtype=np.uint8)
     high[places] = 1
     highs = np.packbits(high, bitorder="little").tobytes()
-    samples = places[::SAMPLE].astype("<u8").tobytes()
+    samples = places[::SAMPLE].astype("<u4").tobytes()
     return _HEAD.pack(n, int(universe), low, len(lows), len(highs)) + lows + highs + samples
 
 
 class EliasFano:
-    """Reads what ``dump`` wrote, without unpacking it all unless ``values`` is called."""
+    """Reads what ``dump`` wrote."""
 
     def __init__(self, data: bytes | memoryview, at: int = 0):
         self.n, self.universe, self.low, n_lows, n_highs = _HEAD.unpack_from(data, at)
@@ -42,33 +46,28 @@ class EliasFano:
         self._lows = np.frombuffer(data, np.uint8, n_lows, at)
         self._highs = np.frombuffer(data, np.uint8, n_highs, at + n_lows)
         n_samples = -(-self.n // SAMPLE)
-        self._samples = np.frombuffer(data, "<u8", n_samples, at + n_lows + n_highs)
-        self.end = at + n_lows + n_highs + 8 * n_samples
+        self._samples = np.frombuffer(data, "<u4", n_samples, at + n_lows + n_highs).astype(np.int64)
+        self.end = at + n_lows + n_highs + 4 * n_samples
 
-    def select(self, i: int) -> int:
-        """The i-th value, from 0."""
-        if not 0 <= i < self.n:
+    def select(self, i: int | np.ndarray) -> int | np.ndarray:
+        """The i-th value, from 0, or the values at an array of places: reads from the sample before the first to the one after the last."""
+        at = np.atleast_1d(np.asarray(i, dtype=np.int64))
+        if not len(at):
+            return np.zeros(0, np.int64)
+        if at.min() < 0 or at.max() >= self.n:
             raise IndexError(i)
-        place, left = int(self._samples[i // SAMPLE]), i % SAMPLE
-        byte = place // 8
-        skip = place % 8
-        while True:  # ``left`` more set bits after the sampled one
-            bits = np.flatnonzero(np.unpackbits(self._highs[byte : byte + 64], bitorder="little")[skip:])
-            if left < len(bits):
-                place = byte * 8 + skip + int(bits[left])
-                break
-            left, byte, skip = left - len(bits), byte + 64, 0
-        first = i * self.low
-        cut = np.unpackbits(self._lows[first // 8 : (first + self.low + 7) // 8], bitorder="little")
-        low = 0
-        for k, bit in enumerate(cut[first % 8 : first % 8 + self.low].tolist()):
-            low |= bit << k
-        return (place - i << self.low) | low
-
-    def values(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self._highs, bitorder="little"))[: self.n]
-        out = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
-        bits = np.unpackbits(self._lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
+        lo, hi = int(at.min()) // SAMPLE, int(at.max()) // SAMPLE + 1
+        begin = int(self._samples[lo]) // 8
+        end = int(self._samples[hi]) // 8 + 1 if hi < len(self._samples) else len(self._highs)
+        part = self._highs[begin:end].copy()
+        part[0] &= 0xFF << int(self._samples[lo]) % 8 & 0xFF  # bits before the sample belong to earlier values
+        ones = np.cumsum(_ONES[part])
+        rank = at - lo * SAMPLE
+        byte = np.searchsorted(ones, rank, side="right")
+        bit = _KTH[part[byte], rank - ones[byte] + _ONES[part[byte]]]
+        out = ((begin + byte) * 8 + bit - at).astype(np.uint64) << np.uint64(self.low)
         for k in range(self.low):
-            out |= bits[:, k].astype(np.uint64) << np.uint64(k)
-        return out.astype(np.int64)
+            place = at * self.low + k
+            out |= (self._lows[place >> 3].astype(np.uint64) >> (place & 7).astype(np.uint64) & np.uint64(1)) << np.uint64(k)
+        out = out.astype(np.int64)  # beyond 2**63 the same bits
+        return out if np.ndim(i) else int(out.view(np.uint64)[0])

@@ -7,7 +7,9 @@ when a partition ends are the leftovers; those of ``GROUP`` neighbouring partiti
 to fill, so that a group has one short sequence at most.
 
 Nulls and corners: null or empty text is the end id alone; an empty table gives no row; repeated rows
-are documents of their own and so are rows without a doc_id; other columns are ignored.
+are documents of their own and so are rows without a doc_id; a very long text is cut into whole
+windows as it comes, its ids held once; of windows that fit equally well the oldest is taken; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,9 +92,9 @@ def _rows(windows: list[tuple[int, list]], keep_ids: bool) -> pa.RecordBatch:
 
 def pack(
     docs: DataFrame, vocabulary: str, length: int = LENGTH, n_open: int = OPEN, group: int = GROUP,
-    min_cut: int = MIN_CUT, end_id: int = byte_bpe.END_ID, keep_ids: bool = True, added: bool = False,
+    min_cut: int = MIN_CUT, end_id: int = byte_bpe.END_ID, keep_ids: bool = True,
 ) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text), their ids too if ``keep_ids``. added: as in ``byte_bpe``.
+    """Pieces of ``docs`` (doc_id, text), their ids too if ``keep_ids``.
 
     No shuffle of texts or of whole documents' ids: only leftovers, ``n_open`` windows a partition,
     move. The first pass is written once, so that its closed and open windows agree.
@@ -100,7 +102,7 @@ def pack(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer, part = byte_bpe.encoder(vocabulary, added), Packer(length, n_open, min_cut), TaskContext.get().partitionId()
+        coder, packer, part = byte_bpe.encoder(vocabulary), Packer(length, n_open, min_cut), TaskContext.get().partitionId()
         rows = ((key.as_py(), text.as_py()) for b in batches for key, text in zip(b["doc_id"], b["text"], strict=True))
         n, closed = part << 32, []
         for doc_id, ids in coder.encode_stream(rows):
@@ -142,4 +144,4 @@ def pack(
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` packed into sequences of 1024 ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, byte_bpe.default_path(), keep_ids=False, added=True).drop("ids", "sequence_length")
+    return pack(docs, byte_bpe.default_path(), keep_ids=False).drop("ids", "sequence_length")

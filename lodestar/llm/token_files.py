@@ -3,15 +3,18 @@
 A data set is a folder of segment files. Documents stand in ascending ``doc_id`` order (null ids
 first; rows that share an id by the hash of their text), each followed by the end id. A segment:
 
-    magic ``LODEFSG1`` | segment number u64 | documents u64 | ids u64 | bytes of an id u8, 7 x 0 |
-    doc_id i64 each | 1 byte each: 1 where doc_id is null | Elias-Fano ends | ids
+    magic ``LODEFSG2`` | segment number u64 | documents u64 | of them without doc_id u64 | least doc_id
+    i64 | ids u64 | bytes of an id u8, 7 x 0 | Elias-Fano doc_ids less the least | Elias-Fano ends | ids
 
-Numbers are little-endian. Segment numbers ascend in document order. Spark's text writer makes the
+So neither the doc_ids nor the boundaries are a table of 64-bit numbers: both ascend, and select
+structures give the i-th of them. Numbers are little-endian. Segment numbers ascend in document order. Spark's text writer makes the
 files, one record each, so one line feed follows; a reader stops before it. Hence the folder can lie
 in any store that Spark writes, and ``binaryFile`` reads it back.
 
 Nulls and corners: null or empty text is one end id; an empty table makes no segment; repeated rows
-are documents of their own; columns other than ``doc_id`` and ``text`` are ignored.
+are documents of their own, dealt over as many ranges as they need; a very long text lies whole in
+one segment, which may then hold more than SEGMENT_IDS; columns other than ``doc_id`` and ``text``
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,38 +33,42 @@ from pyspark.sql import Window as W
 from . import byte_bpe, elias_fano
 from lodestar.sources.shared import new_path, settle
 
-MAGIC = b"LODEFSG1"
-_HEAD = struct.Struct("<8sQQQB7x")
+MAGIC = b"LODEFSG2"
+_HEAD = struct.Struct("<8sQQQqQB7x")
 #: Ids that a segment holds before the next begins; characters that a range of documents holds, and the
 #: most ranges (beyond them, ranges grow; a task still holds one segment).
 SEGMENT_IDS, RANGE_CHARS, MOST_RANGES = 4_000_000, 12_000_000, 20_000
 
 
 def segment_bytes(number: int, doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """One segment. ids: of each document, little-endian unsigned 32-bit, the end id included."""
+    """One segment of documents in ascending order of doc_id, nulls first. ids: of each, as little-endian
+    unsigned 32-bit, the end id included.
+    """
     ends = np.cumsum([len(x) // 4 for x in ids]) if ids else np.zeros(0, np.int64)
     total = int(ends[-1]) if ids else 0
     flat = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
-    keys = np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes()
-    nulls = np.array([x is None for x in doc_ids], dtype=np.uint8).tobytes()
-    head = _HEAD.pack(MAGIC, number, len(ids), total, width)
-    return head + keys + nulls + elias_fano.dump(ends, total) + flat
+    known = [x for x in doc_ids if x is not None]
+    least, most = (known[0], known[-1]) if known else (0, 0)
+    head = _HEAD.pack(MAGIC, number, len(ids), len(ids) - len(known), least, total, width)
+    keys = elias_fano.dump(np.array([x - least for x in known], dtype=np.uint64), most - least)
+    return head + keys + elias_fano.dump(ends, total) + flat
 
 
 class Segment:
     """A segment's documents, by position."""
 
     def __init__(self, data: bytes):
-        magic, self.number, self.n_docs, self.n_ids, width = _HEAD.unpack_from(data)
+        magic, self.number, self.n_docs, self.n_null, self.least, self.n_ids, width = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a segment")
-        at = _HEAD.size
-        keys = np.frombuffer(data, "<i8", self.n_docs, at)
-        nulls = np.frombuffer(data, np.uint8, self.n_docs, at + 8 * self.n_docs)
-        self.doc_ids = [None if z else k for k, z in zip(keys.tolist(), nulls.tolist(), strict=True)]
-        self.ends = elias_fano.EliasFano(data, at + 9 * self.n_docs)
+        self.keys = elias_fano.EliasFano(data, _HEAD.size)
+        self.ends = elias_fano.EliasFano(data, self.keys.end)
         self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, self.ends.end)
 
+    def doc_ids(self) -> list[int | None]:
+        found = self.keys.select(np.arange(self.n_docs - self.n_null)).astype(np.uint64).tolist()
+        return [None] * self.n_null + [k + self.least for k in found]
+
     def bounds(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
 
@@ -70,20 +77,21 @@ class Segment:
         return self.ids[start:end]
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.END_ID, added: bool = False) -> None:
-    """Encode ``docs`` (doc_id, text) and write the segments to ``path``. added: as in ``byte_bpe``.
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.END_ID) -> None:
+    """Encode ``docs`` (doc_id, text) and write the segments to ``path``.
 
     One shuffle of the texts by range of ``doc_id``; a task holds one segment's ids at a time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("tie", F.xxhash64("text"))
+    # rows that share id and text differ by ``row`` alone, so no key holds more than a row
+    docs = docs.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    keys = ["doc_id", "tie", "text"]
-    ranged = docs.repartitionByRange(min(MOST_RANGES, 1 + chars // RANGE_CHARS), *keys[:2]).sortWithinPartitions(*keys)
+    keys = ["doc_id", "tie", "row"]
+    ranged = docs.repartitionByRange(min(MOST_RANGES, 1 + chars // RANGE_CHARS), *keys).sortWithinPartitions(*keys)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_bpe.encoder(vocabulary, added)
+        coder = byte_bpe.encoder(vocabulary)
         width = 2 if len(coder.n_bytes) <= 1 << 16 else 4
         part, k, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
         rows = ((key.as_py(), text.as_py()) for b in batches for key, text in zip(b["doc_id"], b["text"], strict=True))
@@ -102,19 +110,19 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.EN
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of the folder: doc_id, segment, local_start, n_tokens, ids_crc32, ids."""
+    """Every document of the folder: doc_id, segment, local_start, n_tokens, ids_crc32."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b["content"]:
                 s = Segment(content.as_py())
-                ends = s.ends.values()
+                ends = s.ends.select(np.arange(s.n_docs))
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if s.n_docs else ends
                 flat = s.ids.astype("<u4").tobytes()
                 bounds = list(zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(s.doc_ids, pa.int64()),
+                        pa.array(s.doc_ids(), pa.int64()),
                         pa.array([s.number] * s.n_docs, pa.int64()),
                         pa.array(starts, pa.int64()),
                         pa.array(ends - starts, pa.int64()),
@@ -130,7 +138,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(documents: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all documents before: running totals over segments, not documents."""
+    """Adds ``start``, the ids of all documents before: running totals over segments, not documents.
+
+    One task orders a row for each segment of millions of ids: a few million rows for 100 TB of text.
+    """
     documents = settle(documents, "token-file-documents")
     totals = documents.groupBy("segment").agg(F.sum("n_tokens").alias("total"))
     before = W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
@@ -141,5 +152,5 @@ def with_starts(documents: DataFrame) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` written as token files and read back."""
     path = new_path(spark, "token-files")
-    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, byte_bpe.default_path(), added=True)
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, byte_bpe.default_path())
     return with_starts(read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")

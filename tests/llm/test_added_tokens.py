@@ -10,7 +10,7 @@ from lodestar.llm import byte_bpe, stages
 from lodestar.llm.queries import QUERIES
 
 from .corpus import awkward_texts, by_row
-from .test_tokens import PARTS, random_texts
+from .test_tokens import PARTS, random_texts, reference
 
 END = "<|endoftext|>"
 TEXTS = [
@@ -19,17 +19,10 @@ TEXTS = [
 ]
 
 
-def reference(texts):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(byte_bpe.default_path())
-    return [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
-
-
 def test_encoder_with_added_tokens(monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHE_CHUNKS", 500)
-    texts = random_texts(4000, 5, [*PARTS, END]) + [x or "" for x in [*awkward_texts(), *TEXTS]]
-    coder = byte_bpe.Encoder(byte_bpe.default_path(), added=True)
+    texts = random_texts(4000, 5, PARTS) + [x or "" for x in [*awkward_texts(), *TEXTS]]
+    coder = byte_bpe.Encoder(byte_bpe.default_path())
     got = [x for k in range(0, len(texts), 40) for x in coder.encode_many(texts[k : k + 40])]
     assert got == reference(texts)
 

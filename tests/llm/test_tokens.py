@@ -17,7 +17,6 @@ def reference(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(byte_bpe.default_path())
-    t.encode_special_tokens = True
     return [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -30,7 +29,7 @@ def random_texts(n, seed, parts):
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 10))) for _ in range(n)]
 
 
-PARTS = [" ", " ", "\n", "a", "b", "th", "é", " ", "\t", "!", "1", "'s", "\x1c", "​", "日", "  ", "<unk>", "▁"]
+PARTS = ["<|endoftext|>", " ", " ", "\n", "a", "b", "th", "é", " ", "\t", "!", "1", "'s", "\x1c", "​", "日", "  ", "<unk>", "▁"]
 
 
 def test_encoder_is_exact(monkeypatch):
@@ -41,12 +40,14 @@ def test_encoder_is_exact(monkeypatch):
     assert got == reference(texts)
 
 
-@pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5, 5, 9], list(range(0, 9000, 7)), [1 << 33], [0, 3, 3, 1 << 40]])
+@pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5, 5, 9], list(range(0, 9000, 7)), list(range(100)) * 1 + [900] * 2000 + [50_000], [1 << 33], [0, 3, 3, 1 << 40]])
 def test_elias_fano(values):
     data = b"xyz" + elias_fano.dump(np.array(values, dtype=np.uint64), max(values, default=0)) + b"tail"
     found = elias_fano.EliasFano(data, 3)
     assert data[found.end :] == b"tail"
-    assert found.values().tolist() == values
+    assert found.select(np.arange(len(values))).tolist() == values
+    some = np.arange(len(values))[::-3]
+    assert found.select(some).tolist() == [values[k] for k in some]
     assert [found.select(k) for k in range(len(values))] == values
     with pytest.raises(IndexError):
         found.select(len(values))
@@ -62,12 +63,33 @@ def test_elias_fano_is_near_minimal():
 def test_segment_round_trip():
     ids = [np.array(x, dtype="<u4").tobytes() for x in ([5, 0], [0], [7, 50256, 0])]
     for width in (2, 4):
-        s = token_files.Segment(token_files.segment_bytes(9, [4, None, 6], ids, width) + b"\n")
-        assert (s.number, s.doc_ids) == (9, [4, None, 6])
+        s = token_files.Segment(token_files.segment_bytes(9, [None, -4, 6], ids, width) + b"\n")
+        assert (s.number, s.doc_ids()) == (9, [None, -4, 6])
         assert [s.document(k).tolist() for k in range(3)] == [[5, 0], [0], [7, 50256, 0]]
         assert [s.bounds(k) for k in range(3)] == [(0, 2), (2, 3), (3, 6)]
 
 
+def test_segments_keep_any_doc_id():
+    end = np.zeros(1, "<u4").tobytes()
+    for keys in ([], [None], [-(1 << 63), -5, -5, 0, (1 << 63) - 1], [None, None, 1 << 62], list(range(7, 70_000, 3))):
+        data = token_files.segment_bytes(0, keys, [end] * len(keys), 2)
+        assert token_files.Segment(data).doc_ids() == keys
+    assert len(data) < len(keys) * (2 + 8 / 8) + 300  # two bytes of id, and under a byte for doc_id and end
+
+
+def test_files_of_one_repeated_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_CHARS", 2_000)
+    docs = spark.createDataFrame([(5, "all the same words")] * 900 + [(4, "other")], "doc_id long, text string")
+    path = f"{tmp_path.as_uri()}/r"
+    token_files.write(docs, path, byte_bpe.default_path())
+    rows = token_files.with_starts(token_files.read(spark, path)).collect()
+    assert len(rows) == 901 and len({r["segment"] for r in rows}) > 4
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", 300)
     monkeypatch.setattr(token_files, "RANGE_CHARS", 20_000)
