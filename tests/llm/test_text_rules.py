@@ -70,33 +70,57 @@ def contamination_case():
     return items, texts
 
 
-@pytest.mark.parametrize("segment,block", [(1_000_000, 16_000_000), (200, 150)])
-def test_contamination(spark, segment, block):
+@pytest.mark.parametrize("segment,block,phrases", [(1_000_000, 16_000_000, 1000), (200, 150, 1000), (1000, 0, 3), (1_000_000, 0, 20)])
+def test_contamination(spark, monkeypatch, segment, block, phrases):
+    """Broadcast phrases, and phrases routed by their rarest terms, to one task a segment and to several."""
+    monkeypatch.setattr(decontaminate, "TASK_PHRASES", phrases)
     items, texts = contamination_case()
     docs = documents(spark, texts)
     benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, hit int")
-    index = decontaminate.build_index(docs, segment)
+    index = decontaminate.settle(decontaminate.build_index(docs, segment))
     got = decontaminate.contamination(index, benchmark, block_chars=block).collect()
     want = [(None if r["doc_id"] is None else str(r["doc_id"]), *brute_contamination(r["text"], items)) for r in docs.select("doc_id", "text").collect()]
     assert by_row(got) == by_row(want)
 
 
-def test_contamination_of_nothing(spark):
+@pytest.mark.parametrize("block", [1000, 0])
+def test_contamination_of_nothing(spark, block):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = documents(spark)
-    rows = decontaminate.contamination(decontaminate.build_index(docs), none).collect()
-    assert len(rows) == docs.count() and not any(r["contaminated"] or r["n_hit"] for r in rows)
-    assert decontaminate.contamination(decontaminate.build_index(empty(spark)), none).count() == 0
+    for items in (none, spark.createDataFrame([(k, x) for k in range(500) for x in (None, "", "... !")], "item_id long, text string")):
+        rows = decontaminate.contamination(decontaminate.build_index(docs), items, block_chars=block).collect()
+        assert len(rows) == docs.count() and not any(r["contaminated"] or r["n_hit"] for r in rows)
+    items = spark.createDataFrame([(1, "one two"), (1, "one two")], "item_id long, text string")
+    assert decontaminate.contamination(decontaminate.build_index(empty(spark)), items, block_chars=block).count() == 0
 
 
 def test_matches_and_proximity(spark):
     docs = spark.createDataFrame([(1, "zero one two three four two three"), (2, "one x two three"), (3, "three two one")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "one two three"), (8, "two three")], "item_id long, text string")
+    items = spark.createDataFrame([(7, "one two three"), (8, "two three"), (8, "two three"), (9, "Two, three!")], "item_id long, text string")
     index = decontaminate.build_index(docs)
-    exact = {tuple(r) for r in decontaminate.matches(index, items).collect()}
-    assert exact == {("1", "7", 1, 3), ("1", "8", 2, 2), ("1", "8", 5, 2), ("2", "8", 2, 2)}
-    near = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(index, items, slop=1).collect()}
-    assert {("2", "7"), ("1", "7"), ("2", "8")} <= near and ("3", "7") not in near
+    exact = {("1", "7", 1, 3), ("1", "8", 2, 2), ("1", "8", 5, 2), ("2", "8", 2, 2)}
+    exact |= {(d, "9", *x) for d, i, *x in exact if i == "8"}
+    for block in (1000, 0):
+        assert sorted(map(tuple, decontaminate.matches(index, items, block_chars=block).collect())) == sorted(exact)
+
+
+def brute_near(words, phrase, slop):
+    return [p for p in range(len(words)) if all(any(words[j] == w for j in range(max(0, p + k - slop), min(len(words), p + k + slop + 1))) for k, w in enumerate(phrase))]
+
+
+def test_proximity_is_exact(spark):
+    """Whatever term is the rarest, at a segment's start, and never across documents."""
+    rng = random.Random(8)
+    texts = ["rare com com com", "b a c d", "end one", "two start", "x b x", "a", "", None, "com rare"] + [" ".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(40)]
+    items = ["com rare", "a b c d", "one two", "a b", "c a a d", "b", "d c b a", "zz a"]
+    index = decontaminate.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for slop in (0, 1, 2):
+        want = sorted((str(d), str(i), p, len(alnum(x))) for d, t in enumerate(texts) for i, x in enumerate(items) for p in brute_near(alnum(t), alnum(x), slop))
+        for block in (1000, 0):
+            assert sorted(map(tuple, decontaminate.matches(index, benchmark, slop, block_chars=block).collect())) == want
+        assert slop == 0 or ("0", "0", 0, 2) in want and ("1", "1", 0, 4) in want
+    assert not any(i == "2" for _, i, *_ in want)
 
 
 def brute_counts(text):
