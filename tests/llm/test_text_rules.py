@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 
-from lodestar.llm import decontaminate, host_rules, licenses
+from lodestar.llm import decontaminate, host_rules, license_texts, licenses
 
 from .corpus import alnum, awkward_texts, by_row, documents, empty, prose, spaced
 
@@ -19,25 +20,41 @@ LICENSED = [
 
 
 def brute_license(text):
-    words, base, found = alnum(text), [], []
+    words, base, found, limits = alnum(text), [], [], []
+
+    def places(p):
+        for start in range(-len(p.words), len(words)):
+            if start + p.key_at >= 0 and words[start + p.key_at : start + p.key_at + len(p.key)] == p.key:
+                got = sum(x for k, (w, x) in enumerate(zip(p.words, p.weights, strict=True)) if 0 <= start + k < len(words) and words[start + k] == w)
+                if got / p.total >= licenses.LEAST:
+                    yield start, got
+
     for t in licenses.templates():
-        for start in range(-len(t.words), len(words)):
-            key = start + t.key_at
-            if key < 0 or words[key : key + len(t.key)] != t.key:
-                continue
-            got = sum(x for k, (w, x) in enumerate(zip(t.words, t.weights, strict=True)) if 0 <= start + k < len(words) and words[start + k] == w)
-            score = got / sum(t.weights)
-            if score >= licenses.LEAST:
-                found.append((t.label, score))
+        keys = [x for p in t.passages if p.is_key for x in places(p)]
+        rest = sum(max((got for _, got in places(p)), default=0) for p in t.passages if not p.is_key) if keys else 0
+        for start, got in keys:
+            limits.append((got + rest) / t.total)
+            if limits[-1] >= licenses.LEAST:
+                found.append((t.label, limits[-1]))
                 if t.base:
                     base.append((start, t.label))
     join = lambda xs: ",".join(sorted(set(xs)))
-    places = [p for p, _ in base]
-    return (len(words), len(places), min(places, default=None), max(places, default=None), join(x for _, x in base), join(x for x, _ in found), round(max((s for _, s in found), default=0.0), 9))
+    at = [p for p, _ in base]
+    return (len(words), len(at), min(at, default=None), max(at, default=None), join(x for _, x in base), join(x for x, _ in found), round(max((s for _, s in found), default=0.0), 9))
+
+
+def whole_texts():
+    rng = random.Random(9)
+    for label, _, text in license_texts.TEXTS:
+        lines = text.strip().split("\n")
+        yield label, "Copyright 2020\n" + text
+        yield label, "\n".join(x for line in lines for x in (line, prose(rng, 7)))  # prose between the passages
+        yield label, lines[0]
+        yield label, " ".join(w for w in text.split() if rng.random() < 0.9)
 
 
 def test_licenses(spark, tmp_path):
-    texts = awkward_texts() + LICENSED + [prose(random.Random(1), 300) + " " + x + " " + prose(random.Random(2), 50) for x in LICENSED]
+    texts = awkward_texts() + LICENSED + [x for _, x in whole_texts()] + [prose(random.Random(1), 300) + " " + x + " " + prose(random.Random(2), 50) for x in LICENSED]
     docs = documents(spark, texts)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = licenses.op2_licenses(spark, str(tmp_path)).collect()
@@ -45,6 +62,28 @@ def test_licenses(spark, tmp_path):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_whole_texts_are_found(spark):
+    texts = [x for k, x in enumerate(whole_texts()) if k % 4 < 2]
+    rows = licenses.scan(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in rows:
+        best = [m["score"] for m in r["matches"] if m["label"] == texts[r["doc_id"]][0]]
+        assert max(best) > 0.99 and not any(m["base"] for m in r["matches"] if m["label"] in ("isc", "zlib"))
+
+
+def test_long_repeated_phrases_take_time_in_proportion(spark):
+    """240 KB of one phrase after another, of names and of a whole text."""
+    for phrase in ("cc by ", "GNU General Public License version 2 ", license_texts.TEXTS[0][2]):
+        took = []
+        for n in (60_000, 240_000):
+            docs = spark.createDataFrame([(1, phrase * (n // len(phrase)))], "doc_id long, text string")
+            licenses.scan(docs).collect()
+            began = time.perf_counter()
+            found = licenses.scan(docs).first()["matches"]
+            took.append(time.perf_counter() - began)
+            assert len(found) >= n // len(phrase)
+        assert took[1] < 8 * took[0] + 2, took
+
+
 def brute_contamination(text, items, window=13):
     words = alnum(text)
     hit, found = set(), set()
