@@ -133,7 +133,7 @@ def index(spark: SparkSession, found: list[Template]) -> DataFrame:
             for n, t in enumerate(found)
         ],
     }
-    return spark.range(1).select(F.lit(1).alias("one"), F.from_json(F.lit(json.dumps(row)), INDEX).alias("ix"))
+    return spark.range(1).select(F.col("id").alias("one"), F.from_json(F.lit(json.dumps(row)), INDEX).alias("ix"))
 
 
 def scan(docs: DataFrame, found: list[Template] | None = None, least: float = LEAST) -> DataFrame:
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, found: list[Template] | None = None, least: float = LE
     for k in minimal:
         likely = likely | _all(F.contains("low", F.lit(w)) for w in sorted(k, key=lambda w: (-len(w), w)))
     upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    rows = rows.select("doc_id", F.array_remove(F.split("text", NOT_WORD), "").alias("cased"), F.when(likely, 1).alias("likely"))
+    rows = rows.select("doc_id", F.array_remove(F.split("text", NOT_WORD), "").alias("cased"), F.when(likely, F.lit(0).cast("long")).alias("likely"))
     rows = rows.join(F.broadcast(index(docs.sparkSession, found)), F.col("likely") == F.col("one"), "left")
     rows = rows.withColumn(
         "words", F.expr(f"if(likely is null, cast(array() as array<string>), transform(cased, w -> translate(w, '{upper}', '{small}')))")
