@@ -7,12 +7,17 @@ host and the domains above it.
 
 Captures are first reduced to their distinct (host, day) pairs by a combining aggregate, so a host
 with a third of all captures costs its days, not its captures. Pairs meet the intervals as of their
-day; the verdicts join back by host and day, where no key is hotter than one day of one host.
+day: up to BROADCAST_ROWS intervals are broadcast, and only pairs that some list names move. Beyond
+them, pairs and intervals meet by key and salt, so a domain above most hosts (``com``) is spread
+over SALTS tasks. The verdicts join back by host and day, where no key is hotter than one day of one
+host; captures that have no host or day meet nothing and stay spread as they are.
 
 Nulls and corners: a URL without a host, or a null URL or day, is on no list; entries without list,
 host, date or a known action are ignored; on one day the last action by name (``remove``) holds and
 repeated entries count once; an add while on the list, or a remove while off it, changes nothing;
-an empty list blocks nothing; repeated captures are judged each; other columns of captures are kept.
+an empty list blocks nothing; repeated captures are judged each; an empty table gives no row; a very
+long URL is read whole. Captures keep all their columns; a verdict's column whose name one of them
+has, in any case, gets ``_`` behind it until it is free.
 """
 
 from __future__ import annotations
@@ -21,6 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestar.sources.shared import settle
+
+#: Intervals, of under 100 bytes each, that are broadcast; parts that a key is dealt to beyond them.
+BROADCAST_ROWS, SALTS = 100_000, 64
+
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an absolute URL; null if there is none."""
@@ -43,21 +53,35 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``captures`` with host, n_lists, lists (sorted, comma-joined) and blocked: the state of the lists on their day."""
-    own = [f"`{c}`" for c in captures.columns if c.lower() != "host"]
-    rows = captures.select(*own, host_of(F.col(url)).alias("host"))
-    pairs = rows.select("host", F.col(day).alias("day")).filter("host is not null and day is not null").distinct()
+    rows = captures.select(
+        F.struct(*(F.col(f"`{c}`") for c in captures.columns)).alias("capture"), host_of(F.col(f"`{url}`")).alias("host"),
+        F.col(f"`{day}`").cast("date").alias("day"), F.concat(F.lit("?"), F.spark_partition_id().cast("string")).alias("nobody"),
+    )
+    pairs = rows.select("host", "day").filter("host is not null and day is not null").distinct()
     parts = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     keyed = pairs.select("host", "day", F.explode(above).alias("key"))
-    valid = intervals(entries).withColumnRenamed("host", "key")
-    met = keyed.join(valid, "key").filter("since <= day and (until is null or day < until)")
+    valid = settle(intervals(entries).withColumnRenamed("host", "key"), "list-intervals")
+    if valid.count() <= BROADCAST_ROWS:
+        met = keyed.join(F.broadcast(valid), "key")
+    else:
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("host", "day"), F.lit(SALTS)).cast("int"))
+        met = keyed.join(valid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
+    met = met.filter("since <= day and (until is null or day < until)")
     found = met.groupBy("host", "day").agg(F.array_sort(F.collect_set("list")).alias("found"))  # lists, not rows: few
-    rows, found = rows.alias("capture"), found.alias("verdict")
-    same = (F.col("capture.host") == F.col("verdict.host")) & (F.col(f"capture.{day}") == F.col("verdict.day"))
-    lists = F.coalesce(F.col("verdict.found"), F.array().cast("array<string>"))
-    return rows.join(found, same, "left").select(
-        "capture.*", F.size(lists).cast("long").alias("n_lists"), F.array_join(lists, ",").alias("lists"), (F.size(lists) > 0).alias("blocked")
-    )
+    found = found.select(F.col("host").alias("at"), F.col("day").alias("on"), "found")
+    known = F.when(F.col("host").isNotNull() & F.col("day").isNotNull(), F.col("host")).otherwise(F.col("nobody"))  # no host begins with ?
+    lists = F.coalesce(F.col("found"), F.array().cast("array<string>"))
+    verdict = {"host": F.col("host"), "n_lists": F.size(lists).cast("long"), "lists": F.array_join(lists, ","), "blocked": F.size(lists) > 0}
+    taken = {c.lower() for c in captures.columns}
+    joined = rows.join(found, (known == F.col("at")) & (F.col("day") == F.col("on")), "left")
+    return joined.select("capture.*", *(c.alias(_free(name, taken)) for name, c in verdict.items()))
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 #: The query's stand-ins for a crawl's dates and for published lists: rules over the pages' own URLs.

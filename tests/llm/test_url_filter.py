@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import url_filter
@@ -32,7 +33,10 @@ def brute(captures, entries):
     return sorted(out)
 
 
-def test_as_of(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_as_of(spark, monkeypatch, most):
+    """Intervals broadcast, and met by salted keys."""
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
     rng = random.Random(1)
     day = lambda: dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(20))
     hosts = ["a.com", "b.a.com", "c.b.a.com", "d.org", "hot.net"]
@@ -48,3 +52,16 @@ def test_as_of(spark):
     assert sorted(tuple(r) for r in got.select("page_id", "host", "n_lists", "lists", "blocked").collect()) == want
     assert not url_filter.judge(rows, table.limit(0)).filter("blocked").count()
     assert url_filter.judge(rows.limit(0), table).count() == 0
+
+
+def test_captures_keep_columns_of_clashing_names(spark):
+    rows = spark.createDataFrame(
+        [(1, "https://bad.com/", "own host", 7, True, "l", "c", "k", 5, 6, "?0"), (2, None, "h", 8, False, "m", "d", "k", 5, 6, "x")],
+        "page_id long, url string, Host string, n_lists int, blocked boolean, lists string, capture string, key string, salt int, at int, nobody string",
+    ).withColumns({"fetch_day": F.lit("2024-01-05").cast("date"), "on": F.lit(1), "found": F.lit(2), "host_": F.lit(3)})
+    entries = spark.createDataFrame([("spam", "bad.com", "add", dt.date(2024, 1, 2))], "list string, host string, action string, day date")
+    got = url_filter.judge(rows, entries)
+    assert got.columns == [*rows.columns, "host__", "n_lists_", "lists_", "blocked_"]
+    found = {r["page_id"]: r for r in got.collect()}
+    assert [tuple(found[k])[: len(rows.columns)] for k in (1, 2)] == [tuple(r) for r in sorted(rows.collect())]
+    assert [(found[k]["host__"], found[k]["n_lists_"], found[k]["blocked_"]) for k in (1, 2)] == [("bad.com", 1, True), (None, 0, False)]
