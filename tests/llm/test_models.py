@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import string
 import zlib
 from itertools import product
 
@@ -13,7 +15,7 @@ from conftest import DATA
 from lodestar.llm import language, quality
 from lodestar.llm.queries import QUERIES
 
-from .corpus import documents, empty
+from .corpus import awkward_texts, documents, empty, prose
 
 
 def test_forward_sums_all_segmentations():
@@ -108,6 +110,77 @@ def test_quality_corners(spark):
     assert quality.score(empty(spark), model).count() == 0
 
 
+def plain_statistics(text):
+    """Character by character and word by word."""
+    raw = (text or "").encode()
+    words, word = [], b""
+    for b in [*raw, 32]:
+        if chr(b) in " \t\n\r\x0b\x0c":
+            words, word = words + [word] * bool(word), b""
+        else:
+            word += bytes([b])
+    blank = sum(chr(b) in " \t\n\r\x0b\x0c" for b in raw)
+    solid, n = max(1, len(raw) - blank), len(words)
+    letters = sum(chr(b) in string.ascii_letters or b >= 0xC0 for b in raw)
+    of = lambda chars: math.log(1 + 100 * sum(chr(b) in chars for b in raw) / solid)
+    odds = lambda share, n: math.log(share * n + 0.5) - math.log(n - share * n + 0.5)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    pairs = {(a, b) for a, b in zip(words, words[1:], strict=False)}
+    return [
+        math.log(1 + n), math.log(1 + (len(raw) - blank) / max(1, n)), odds(len({*words}) / max(1, n), n), odds(len(pairs) / max(1, n - 1), max(0, n - 1)),
+        of("#*$%&|<>!@^_=+~/\\[]{}`"), of(".,;:'\"?-()"), of(string.digits),
+        math.log(1 + 100 * sum(chr(b) in string.ascii_uppercase for b in raw) / max(1, letters)), math.log(1 + 100 * (1 - min(1, letters / solid))),
+        math.log(1 + len(lines)), math.log(1 + 100 * (1 - len({*lines}) / max(1, len(lines)))), math.log(1 + 100 * sum(b >= 128 for b in raw) / solid),
+    ]
+
+
+def plain_scores(train, y, points, shrink, pooled):
+    """Log densities by determinants and inverses, nothing cached."""
+    varies = train.std(axis=0) > 1e-9
+    train, points = train[:, varies], points[:, varies]
+    mean, scale = train.mean(axis=0), train.std(axis=0)
+    train, points = (train - mean) / scale, (points - mean) / scale
+    covs = [np.cov(train[y == c].T, bias=True) for c in (0, 1)]
+    both = sum((y == c).mean() * covs[c] for c in (0, 1))
+    logs = []
+    for c in (0, 1):
+        cov = (1 - pooled) * covs[c] + pooled * both
+        cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
+        d = points - train[y == c].mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1] + math.log((y == c).mean()))
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+
+
+def test_quality_query_equals_a_plain_version(spark, tmp_path):
+    rng = random.Random(11)
+    good = lambda: prose(rng, rng.randint(40, 200))
+    bad = lambda: " ".join(rng.choice(["click", "###", "$$$", "BUY", "now"]) for _ in range(rng.randint(5, 90))) + "\n" * rng.randint(0, 3)
+    quality_of = {k: rng.randint(0, 1) for k in range(150)}
+    rows = [(k, good() if (q if rng.random() < 0.9 else 1 - q) else bad()) for k, q in quality_of.items()]
+    rows += [(200 + k, x) for k, x in enumerate(awkward_texts()[:-1])] + [rows[3], (None, good())]
+    labels = [(k, q) for k, q in quality_of.items()] + [(5, quality_of[5]), (200, 0), (999, 1), (201, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0
+    texts = dict(rows)
+    known = {k: q for k, q in labels if q is not None and k in texts and not held(k)}
+    ids = sorted(known)
+    x, y = np.array([plain_statistics(texts[k]) for k in ids]), np.array([known[k] for k in ids])
+    losses = {}
+    for pair in product(quality.SHRINKS, quality.TO_POOLED):
+        total = 0
+        for k in range(quality.FOLDS):
+            own = np.arange(len(ids)) % quality.FOLDS == k
+            p = np.clip(plain_scores(x[~own], y[~own], x[own], *pair), 1e-6, 1 - 1e-6)
+            total -= np.log(np.where(y[own] == 1, p, 1 - p)).sum()
+        losses[pair] = round(total, 6)
+    want = plain_scores(x, y, np.array([plain_statistics(t) for _, t in rows]), *min(losses, key=losses.get))
+    got = sorted((r["doc_id"] is not None, r["doc_id"], r["score"], r["held_out"]) for r in QUERIES["op9_quality"](spark, str(tmp_path)).collect())
+    want = sorted((k is not None, k, s, held(k)) for (k, _), s in zip(rows, want.tolist(), strict=True))
+    assert [(a[1], a[3]) for a in got] == [(b[1], b[3]) for b in want]
+    assert [a[2] for a in got] == pytest.approx([b[2] for b in want], abs=1e-6)
+
+
 def test_discriminant_is_the_log_density_difference():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 1, (400, 3)), rng.normal(1, 2, (600, 3))])
