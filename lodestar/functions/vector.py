@@ -49,8 +49,8 @@ def norm(v: Column, dim: int | None = None) -> Column:
 
 
 def cosine_distance(a: Column, b: Column, dim: int | None = None) -> Column:
-    """1 - cosine; null where a vector is zero."""
-    return F.lit(1.0) - F.try_divide(dot(a, b, dim), norm(a, dim) * norm(b, dim))
+    """1 - cosine; 1 where a vector is zero."""
+    return F.lit(1.0) - F.coalesce(F.try_divide(dot(a, b, dim), norm(a, dim) * norm(b, dim)), F.lit(0.0))
 
 
 def negative_dot(a: Column, b: Column, dim: int | None = None) -> Column:
@@ -58,11 +58,14 @@ def negative_dot(a: Column, b: Column, dim: int | None = None) -> Column:
 
 
 #: Kernels that rank neighbours, smaller is nearer. New ones can be registered.
-METRICS = {"l2": l2, "cosine": cosine_distance, "ip": negative_dot}
+BUILT_IN = {"l2": l2, "cosine": cosine_distance, "ip": negative_dot}
+METRICS = dict(BUILT_IN)
 
 
 def register_metric(name: str, kernel) -> None:
     """``kernel(a, b, dim)``: a Column to rank by; usable by name in the exact search."""
+    if name in BUILT_IN:
+        raise ValueError(f"{name} is built in")
     METRICS[name] = kernel
 
 
@@ -107,7 +110,7 @@ def register_sql(spark: SparkSession) -> None:
     bodies = {
         "l2_distance": f"sqrt({add.format('(x - y) * (x - y)')})",
         "inner_product": inner,
-        "cosine_distance": f"1.0D - try_divide({inner}, {own.format('a')} * {own.format('b')})",
+        "cosine_distance": f"1.0D - coalesce(try_divide({inner}, {own.format('a')} * {own.format('b')}), 0.0D)",
     }
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")

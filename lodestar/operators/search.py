@@ -1,4 +1,8 @@
-"""Exact nearest neighbours and Recall@k."""
+"""Exact nearest neighbours and Recall@k.
+
+A zero vector has no direction: its cosine distance to any vector is 1, in every form of the search.
+Distances that are NaN are the farthest, as Spark orders them.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.functions.vector import METRICS, doubles, width
+from lodestar.functions.vector import BUILT_IN, METRICS, doubles, width
+
+#: Bytes of query vectors that are broadcast; of a block of vectors beyond that; of distances, or of vectors side by side, that a task holds.
+QUERY_BYTES, BLOCK_BYTES, TILE_BYTES = 64 << 20, 64 << 20, 64 << 20
+#: Norms within which a matrix product's error is bounded by ``_slack``; others are compared term by term.
+SAFE_NORM = 1e-140, 1e140
 
-#: Bytes of query vectors that are broadcast at a time, and of distances that a task holds.
-QUERY_BYTES, TILE_BYTES = 64 << 20, 64 << 20
+FOUND = "q long, g long, ql int, gl int, d double"
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -22,97 +30,176 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
+def _blocks(n: int, dim: int, most: int) -> int:
+    return max(1, -(-n * max(1, dim) * 8 // most))
+
+
+def _dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """Each row in its block ``own``, once for every block ``other`` of the other side."""
+    rows = rows.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int"))
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))) if n_other > 1 else F.lit(0))
+
+
 def knn_pairs(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "l2", same: bool = False) -> DataFrame:
     """All pairs by a registered kernel inside generated code: q, g, ql, gl, d, rank.
 
-    For queries that are known to be few: they are broadcast, so their size is checked first.
+    Queries of up to QUERY_BYTES are broadcast. More of them, and the gallery, are dealt to blocks of
+    BLOCK_BYTES, and each block of one side meets each block of the other in a task of its own.
     ``same``: both sides are one set, and a vector is no neighbour of itself.
     """
-    dim = width(gallery, "embedding")
-    n = queries.count()
-    if n * dim * 8 > QUERY_BYTES:
-        raise ValueError(f"{n} queries are too many to broadcast; use knn")
-    side = lambda df, *names: df.select(*(F.col(c).alias(a) for c, a in zip(("vec_id", "label"), names, strict=False)), doubles(F.col("embedding")).alias(names[2]))
-    pairs = side(gallery, "g", "gl", "gv").join(F.broadcast(side(queries, "q", "ql", "qv")), F.col("q") != F.col("g") if same else F.lit(True))
-    pairs = pairs.select("q", "g", "ql", "gl", METRICS[metric](F.col("qv"), F.col("gv"), dim).alias("d"))
-    return _ranked(pairs, k)
+    dim, n = width(gallery, "embedding"), queries.count()
+    few = n * dim * 8 <= QUERY_BYTES
+    nq, ng = (1, 1) if few else (_blocks(n, dim, BLOCK_BYTES), _blocks(gallery.count(), dim, BLOCK_BYTES))
+    plain = lambda df: df.select("vec_id", "label", doubles(F.col("embedding")).alias("v"))
+    left = _dealt(plain(gallery), "gb", ng, "qb", nq).withColumnsRenamed({"vec_id": "g", "label": "gl", "v": "gv"})
+    right = _dealt(plain(queries), "qb", nq, "gb", ng).withColumnsRenamed({"vec_id": "q", "label": "ql", "v": "qv"})
+    pairs = left.join(F.broadcast(right) if few else right, ["qb", "gb"])
+    if same:
+        pairs = pairs.filter("q != g")
+    return _ranked(pairs.select("q", "g", "ql", "gl", METRICS[metric](F.col("qv"), F.col("gv"), dim).alias("d")), k)
+
+
+def _total(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, from left to right."""
+    out = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        out = out + x[:, k]
+    return out
 
 
 def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, summed from left to right: to the bit what the column kernels give."""
-
-    def total(x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for k in range(x.shape[1]):
-            out = out + x[:, k]
-        return out
-
-    if metric == "l2":
-        return np.sqrt(total((a - b) * (a - b)))
-    inner = total(a * b)
-    if metric == "ip":
-        return -inner
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return 1.0 - inner / (np.sqrt(total(a * a)) * np.sqrt(total(b * b)))
-
-
-def _rough(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances by one matrix product, right but for rounding."""
-    inner = a @ b.T
-    if metric == "l2":
-        return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * inner
-    if metric == "ip":
-        return -inner
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return 1.0 - inner / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
-
-
-def _nearest(metric: str, queries: dict, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, k: int, same: bool) -> Iterator[pa.RecordBatch]:
-    """A portion of the gallery against all queries: each one's k nearest, and whatever rounding may hide among them."""
-    step = max(1, TILE_BYTES // (8 * max(1, len(ids))))
-    for i in range(0, len(queries["id"]), step):
-        q = slice(i, i + step)
-        rough = _rough(metric, queries["v"][q], vectors)
-        if same:
-            rough[queries["id"][q][:, None] == ids] = np.inf
-        kth = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))
-        near = ~(rough > (kth + slack)[:, None]) & (rough != np.inf)
-        at, g = np.nonzero(near)
-        columns = [
-            pa.array(queries["id"][q][at]), pa.array(ids[g]), pa.array(queries["label"][q][at], pa.int32()), pa.array(labels[g], pa.int32()),
-            pa.array(_exact(metric, queries["v"][q][at], vectors[g])),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["q", "g", "ql", "gl", "d"])
+    with np.errstate(all="ignore"):
+        if metric == "l2":
+            return np.sqrt(_total((a - b) * (a - b)))
+        inner = _total(a * b)
+        if metric == "ip":
+            return -inner
+        sizes = np.sqrt(_total(a * a)) * np.sqrt(_total(b * b))
+        return 1.0 - np.where(sizes == 0, 0.0, inner / np.where(sizes == 0, 1.0, sizes))
+
+
+def _rough(metric: str, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All distances (squared, for l2) by one matrix product, and how far each row's may be off, twice over.
+
+    The vectors are moved so that the first of ``b`` is the origin where only differences count, so the
+    bound follows from the spread of the vectors, not from where they lie. What the bound doesn't
+    cover, by norms too small or too large, is NaN.
+    """
+    with np.errstate(all="ignore"):
+        if metric == "l2":
+            a, b = a - b[0], b - b[0]
+        na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+        inner, top = a @ b.T, nb.max()
+        error = 16 * (a.shape[1] + 16) * np.finfo(np.float64).eps
+        if metric == "l2":
+            rough, slack = (na * na)[:, None] + nb * nb - 2 * inner, error * (na * na + top * top)
+        elif metric == "ip":
+            rough, slack = -inner, error * na * top
+        else:
+            sizes = na[:, None] * nb
+            rough, slack = 1.0 - np.where(sizes == 0, 0.0, inner / np.where(sizes == 0, 1.0, sizes)), np.full(len(a), error)
+        odd = lambda n: (n != 0) & ~((n > SAFE_NORM[0]) & (n < SAFE_NORM[1]))
+        rough[odd(na)] = np.nan
+        rough[:, odd(nb)] = np.nan
+        return rough, np.where(np.isfinite(slack), slack, np.inf)
+
+
+class Nearest:
+    """The k nearest of each of a block of queries among the portions of a gallery seen so far."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, k: int, metric: str, same: bool):
+        self.ids, self.labels, self.v, self.k, self.metric, self.same = ids, labels, vectors, k, metric, same
+        self.n = np.zeros(len(ids), np.int64)
+        self.d, self.g, self.gl = np.full((len(ids), k), np.nan), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k))
+
+    def add(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
+        rows = max(1, TILE_BYTES // (8 * max(1, vectors.shape[1]) * 4))
+        for j in range(0, len(ids), rows):
+            g = slice(j, j + rows)
+            step = max(1, TILE_BYTES // (8 * len(ids[g])))
+            for i in range(0, len(self.ids), step):
+                self._tile(slice(i, i + step), ids[g], labels[g], vectors[g])
+
+    def _tile(self, q: slice, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
+        rough, slack = _rough(self.metric, self.v[q], vectors)
+        own = self.ids[q][:, None] == ids if self.same else np.zeros((1, 1), bool)
+        ranked = np.where(own | np.isnan(rough), np.inf, rough)
+        at = min(self.k, rough.shape[1]) - 1
+        bound = np.partition(ranked, at, axis=1)[:, at] if self.k <= rough.shape[1] else np.full(len(rough), np.inf)
+        with np.errstate(all="ignore"):
+            kept = np.where(self.n[q] == self.k, self.d[q, -1], np.inf)
+            kept = np.where(np.isnan(kept), np.inf, kept * kept if self.metric == "l2" else kept)
+            bound = np.minimum(bound, kept) + slack
+        row, col = np.nonzero(~(rough > bound[:, None]) & ~own)  # NaN stays
+        if not len(row):
+            return
+        size = max(1, TILE_BYTES // (8 * 4 * max(1, vectors.shape[1])))
+        d = np.concatenate([_exact(self.metric, self.v[q][row[x : x + size]], vectors[col[x : x + size]]) for x in range(0, len(row), size)])
+        old_row, old_col = np.nonzero(np.arange(self.k) < self.n[q][:, None])
+        row = np.concatenate([row, old_row])
+        d = np.concatenate([d, self.d[q][old_row, old_col]])
+        g = np.concatenate([ids[col], self.g[q][old_row, old_col]])
+        gl = np.concatenate([labels[col], self.gl[q][old_row, old_col]])
+        order = np.lexsort((g, d, row))  # NaN comes last
+        row, d, g, gl = row[order], d[order], g[order], gl[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        row, rank = row[keep], rank[keep]
+        self.d[q][row, rank], self.g[q][row, rank], self.gl[q][row, rank] = d[keep], g[keep], gl[keep]
+        self.n[q] = np.maximum(self.n[q], np.bincount(row, minlength=len(self.n[q])))
+
+    def rows(self) -> pa.RecordBatch:
+        row, rank = np.nonzero(np.arange(self.k) < self.n[:, None])
+        label = lambda x: pa.array(x, pa.float64(), from_pandas=True).cast(pa.int32())
+        columns = [pa.array(self.ids[row]), pa.array(self.g[row, rank]), label(self.labels[row]), label(self.gl[row, rank]), pa.array(self.d[row, rank])]
+        return pa.RecordBatch.from_arrays(columns, names=["q", "g", "ql", "gl", "d"])
+
+
+def _arrays(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels (NaN for none) and vectors."""
+    flat = rows["v"].combine_chunks() if isinstance(rows["v"], pa.ChunkedArray) else rows["v"]
+    vectors = np.array(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(rows.num_rows, -1)
+    return rows["vec_id"].to_numpy(), np.asarray(rows["label"].to_pandas(), dtype=np.float64), vectors
 
 
 def knn(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "l2", same: bool = False) -> DataFrame:
     """Exact k nearest of each query by matrix products: q, g, ql, gl, d, rank.
 
-    The queries are a stated set that goes against all rows in blocks of ``QUERY_BYTES``; a block is
-    broadcast and the gallery stays where it is. Each portion of the gallery gives its k nearest for
-    each query, so what is shuffled is k rows a query and portion, not the pairs. Distances are
-    recomputed term by term, so they and their order equal those of ``knn_pairs`` to the bit.
+    Queries of up to QUERY_BYTES are broadcast and the gallery stays where it is: a task gives its k
+    nearest for each query, so what is shuffled is k rows a query and task. More of them, and the
+    gallery, are dealt to blocks of BLOCK_BYTES that meet two by two on the executors, so nothing of
+    either passes through the driver. A matrix product only rules out pairs that its rounding cannot
+    bring among the k nearest; the others' distances are computed term by term, so they and their
+    order equal those of ``knn_pairs`` to the bit. Registered metrics have no matrix product: they go
+    by ``knn_pairs``.
     """
-    spark, dim = gallery.sparkSession, width(gallery, "embedding")
-    asked = queries.select("vec_id", "label", doubles(F.col("embedding")).alias("v"))
-    blocks = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
-    found = None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        table = block.toArrow()
-        vectors = np.array(table["v"].combine_chunks().flatten() if len(table) else [], dtype=np.float64).reshape(len(table), -1)
-        sent = spark.sparkContext.broadcast({"id": table["vec_id"].to_numpy(), "label": table["label"].to_numpy(), "v": vectors})
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for rows in batches:
-                if rows.num_rows and len(sent.value["id"]):
-                    flat = rows["v"].flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-                    yield from _nearest(metric, sent.value, rows["vec_id"].to_numpy(), rows["label"].to_numpy(zero_copy_only=False), flat, k, same)
-
-        near = gallery.select("vec_id", "label", doubles(F.col("embedding")).alias("v")).mapInArrow(run, "q long, g long, ql int, gl int, d double")
-        found = near if found is None else found.unionByName(near)
-    return _ranked(found, k)
+    if metric not in BUILT_IN:
+        return knn_pairs(queries, gallery, k, metric, same)
+    dim = width(gallery, "embedding")
+    plain = lambda df: df.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), doubles(F.col("embedding")).alias("v"))
+    asked, gallery, n = plain(queries), plain(gallery), queries.count()
+    if n * dim * 8 <= QUERY_BYTES:
+        sent = gallery.sparkSession.sparkContext.broadcast(_arrays(asked.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Nearest(*sent.value, k, metric, same)
+            for b in batches:
+                if b.num_rows and len(best.ids):
+                    best.add(*_arrays(b))
+            yield best.rows()
+
+        return _ranked(gallery.mapInArrow(run, FOUND), k)
+
+    def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        best = Nearest(*_arrays(asked), k, metric, same)
+        if rows.num_rows and len(best.ids):
+            best.add(*_arrays(rows))
+        return pa.Table.from_batches([best.rows()])
+
+    nq, ng = _blocks(n, dim, BLOCK_BYTES), _blocks(gallery.count(), dim, BLOCK_BYTES)
+    left, right = _dealt(asked, "qb", nq, "gb", ng), _dealt(gallery, "gb", ng, "qb", nq)
+    return _ranked(left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInArrow(meet, FOUND), k)
 
 
 def first_hits(queries: DataFrame, neighbours: DataFrame) -> DataFrame:

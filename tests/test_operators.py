@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,25 +45,106 @@ def test_knn_ties_and_misses(spark):
     assert list(row) == pytest.approx([1 / 3, 2 / 3, 2 / 3])  # the class of query 2 is absent: a miss
 
 
-@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
-def test_knn_equals_pairs(spark, metric):
-    rng = np.random.default_rng(1)
-    rows = items(spark, [(k, k % 3, rng.normal(size=7).tolist()) for k in range(60)])
-    a = search.knn(rows, rows, 4, metric, same=True).select("q", "g", "rank", "d").collect()
-    b = search.knn_pairs(rows, rows, 4, metric, same=True).select("q", "g", "rank", "d").collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+def sets(rng):
+    """Vectors of many kinds: name, values."""
+    unit = rng.normal(size=(60, 7))
+    yield "around zero", unit
+    yield "far from zero", 1e6 + 1e-3 * rng.normal(size=(60, 64))
+    yield "far, in two places", np.where(np.arange(60)[:, None] % 2, 1e6, -1e6) + 1e-3 * rng.normal(size=(60, 16))
+    yield "ties", np.repeat(rng.integers(0, 2, (12, 3)).astype(float), 5, axis=0)
+    yield "with zero vectors", unit * (np.arange(60)[:, None] % 4 > 0)
+    yield "all zero", np.zeros((60, 3))
+    yield "of many sizes", unit * 10.0 ** rng.integers(-9, 9, (60, 1))
+    yield "tiny and huge", unit * 10.0 ** rng.choice([-170, -150, 0, 150, 170], (60, 1))
+    yield "with NaN", np.where(rng.random((60, 7)) < 0.03, np.nan, unit)
+
+
+def plain_knn(v, k, metric, same=True):
+    """Term by term in plain Python: (q, g, rank, d)."""
+    total = lambda xs: reduce(lambda s, x: s + x, xs, 0.0)
+
+    def distance(a, b):
+        if metric == "l2":
+            return math.sqrt(total((x - y) * (x - y) for x, y in zip(a, b, strict=True)))
+        inner = total(x * y for x, y in zip(a, b, strict=True))
+        if metric == "ip":
+            return -inner
+        size = math.sqrt(total(x * x for x in a)) * math.sqrt(total(x * x for x in b))
+        return 1.0 - (inner / size if size else 0.0)
 
+    out = []
+    for q, a in enumerate(v):
+        near = sorted(((math.isnan(d), d, g) for g, b in enumerate(v) if not same or g != q for d in [distance(a, b)]), key=lambda x: (x[0], 0 if x[0] else x[1], x[2]))
+        out += [(q, g, r + 1, d) for r, (_, d, g) in enumerate(near[:k])]
+    return out
 
-def test_knn_blocks_and_short_gallery(spark, monkeypatch):
+
+def tuples(df):
+    rows = [tuple(r) for r in df.select("q", "g", "rank", "d").collect()]
+    return sorted((q, g, r, "nan" if d != d else d + 0.0) for q, g, r, d in rows)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_knn_equals_pairs(spark, metric):
+    for name, values in sets(np.random.default_rng(1)):
+        rows = items(spark, [(k, k % 3, v) for k, v in enumerate(values.tolist())]).repartition(3)
+        want = sorted((q, g, r, "nan" if d != d else d + 0.0) for q, g, r, d in plain_knn(values.tolist(), 4, metric))
+        assert tuples(search.knn(rows, rows, 4, metric, same=True)) == want, name
+        assert tuples(search.knn_pairs(rows, rows, 4, metric, same=True)) == want, name
+
+
+def test_true_neighbours_are_kept_far_from_zero():
+    """By the bound alone, portion by portion, whatever the norms."""
+    rng = np.random.default_rng(9)
+    for scale, spread in ((1e2, 1.0), (1e6, 1e-3), (1e9, 1e-4), (1e12, 1.0)):
+        v = scale + spread * rng.normal(size=(300, 64))
+        best = search.Nearest(np.arange(300), np.zeros(300), v, 5, "l2", True)
+        for k in range(0, 300, 70):
+            best.add(np.arange(k, min(300, k + 70)), np.zeros(70)[: 300 - k], v[k : k + 70])
+        d = np.stack([search._exact("l2", np.repeat(v[k : k + 1], 300, axis=0), v) for k in range(300)])
+        np.fill_diagonal(d, np.inf)
+        assert (best.g == np.lexsort((np.broadcast_to(np.arange(300), d.shape), d))[:, :5]).all()
+
+
+def test_a_task_keeps_k_rows_of_many_copies():
+    best = search.Nearest(np.arange(3), np.zeros(3), np.zeros((3, 2)), 4, "l2", False)
+    best.add(np.arange(5000)[::-1], np.full(5000, np.nan), np.ones((5000, 2)))
+    rows = best.rows()
+    assert rows["g"].to_pylist() == [0, 1, 2, 3] * 3 and rows["gl"].null_count == 12
+
+
+def test_registered_metrics(spark):
+    vector.register_metric("l1", lambda a, b, dim: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x))
+    try:
+        rng = np.random.default_rng(10)
+        values = rng.normal(size=(30, 3))
+        rows = items(spark, [(k, 0, v) for k, v in enumerate(values.tolist())])
+        d = np.abs(values[:, None] - values).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        got = {(r["q"], r["rank"]): (r["g"], r["d"]) for r in search.knn(rows, rows, 3, "l1", same=True).collect()}
+        for q in range(30):
+            for rank, g in enumerate(np.argsort(d[q])[:3], 1):
+                assert got[q, rank] == (g, pytest.approx(d[q, g]))
+        with pytest.raises(KeyError):
+            search.knn(rows, rows, 3, "unknown")
+        with pytest.raises(ValueError):
+            vector.register_metric("l2", None)
+    finally:
+        vector.METRICS.pop("l1")
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_in_blocks_and_short_gallery(spark, monkeypatch, metric):
     rng = np.random.default_rng(2)
-    rows = items(spark, [(k, k % 3, rng.normal(size=4).tolist()) for k in range(40)])
-    whole = sorted(map(tuple, search.knn(rows, rows, 3).collect()))
+    rows = items(spark, [(k, None if k % 7 == 0 else k % 3, rng.normal(size=4).tolist()) for k in range(40)])
+    whole = sorted(map(tuple, search.knn(rows, rows, 3, metric).collect()), key=repr)
     monkeypatch.setattr(search, "QUERY_BYTES", 300)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 400)
     monkeypatch.setattr(search, "TILE_BYTES", 800)
-    assert sorted(map(tuple, search.knn(rows, rows, 3).collect())) == whole
+    for form in (search.knn, search.knn_pairs):
+        assert sorted(map(tuple, form(rows, rows, 3, metric).collect()), key=repr) == whole
     assert search.knn(rows, rows.limit(2), 9).count() == 80
-    with pytest.raises(ValueError):
-        search.knn_pairs(rows, rows, 3)
+    assert search.knn(rows, rows.limit(0), 9).count() == 0
 
 
 def test_semi_hard_bounds_are_strict(spark):
