@@ -5,6 +5,8 @@ The relational forms are exact and need no Python; interpolating and random tran
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -164,6 +166,35 @@ def decode(row: dict) -> np.ndarray:
     return raw.astype(np.float64)
 
 
+def png(rgb: np.ndarray) -> bytes:
+    """A PNG of an array [height, width, 3]; values are rounded and cut to 0..255."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    h, w, _ = rgb.shape
+    lines = np.clip(np.rint(rgb), 0, 255).astype(np.uint8).reshape(h, 3 * w)
+    body = np.concatenate([np.zeros((h, 1), np.uint8), lines], axis=1).tobytes()  # each line is stored as it is
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def resized(images: DataFrame, size: int) -> DataFrame:
+    """``images`` with every ``image`` struct resized to ``size`` x ``size`` pixels of three channels."""
+    at = images.columns.index("image")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for image in b.column(at).to_pylist():
+                small = np.clip(np.rint(resize(decode(image), size, size)), 0, 255).astype(np.uint8)
+                out.append(image | {"height": size, "width": size, "nChannels": 3, "mode": 16, "data": small[..., ::-1].tobytes()})  # 16: bytes, BGR
+            columns = list(b.columns)
+            columns[at] = pa.array(out, b.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return images.mapInArrow(run, images.schema)
+
+
 Transform = Callable[[np.ndarray, np.random.Generator], np.ndarray]
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vector import NORM_FLOOR, doubles, l2_normalize
+from lodestar.schema import HEAD_WEIGHTS
 
 
 @dataclass
@@ -105,7 +106,7 @@ class Head:
     def save(self, spark: SparkSession, path: str, run: str, tag: str) -> None:
         """Replace the weights ``tag`` (best, best_loss, last) of ``run``."""
         rows = [(run, tag, f"{k}.{kind}", r, [float(x) for x in np.atleast_1d(row)]) for k, layer in enumerate(self.layers) for kind, m in zip("wb", layer, strict=True) for r, row in enumerate(m)]
-        frame = spark.createDataFrame(rows, "run string, tag string, layer string, row int, values array<double>")
+        frame = spark.createDataFrame(rows, HEAD_WEIGHTS)
         frame.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}/tag={tag}")
 
     @classmethod

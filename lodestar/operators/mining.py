@@ -1,32 +1,48 @@
 """Triplet mining inside batches, triplet loss, and the best of a run.
 
 A batch has a bounded number of rows (classes times items), so an anchor's partners fit in an array;
-the number of batches is what grows. Everything of a batch is made in one shuffle by batch.
+the number of batches is what grows. A batch's pairs are made in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import draw
-from lodestar.functions.vector import TRIPLET_SHIFT, doubles, l2, width
+from lodestar.functions.vector import TRIPLET_SHIFT, doubles, width
 
 
 def batch_pairs(batches: DataFrame, items: DataFrame, key: str = "vec_id") -> DataFrame:
     """Ordered pairs of different slots of a batch: batch, a, b, same, d, d_shifted.
 
     d: the distance that mining compares; d_shifted: that of the loss, which shifts each difference.
+    Both are summed from left to right over a batch's pairs at once, in one call a batch.
     """
-    dim = width(items, "embedding")
-    rows = batches.join(items.select(key, doubles(F.col("embedding")).alias("v")), key)
-    side = lambda s: rows.select("batch", F.col("slot").alias(s), F.col("label").alias(f"l{s}"), F.col("v").alias(f"v{s}"))
-    pairs = side("a").join(side("b"), "batch").filter("a != b")
-    va, vb = F.col("va"), F.col("vb")
-    return pairs.select(
-        "batch", "a", "b", (F.col("la") == F.col("lb")).alias("same"), l2(va, vb, dim).alias("d"), l2(va, vb, dim, TRIPLET_SHIFT).alias("d_shifted")
-    )
+    width(items, "embedding")  # all of one length
+    rows = batches.join(items.select(key, doubles(F.col("embedding")).alias("v")), key).select("batch", "slot", "label", "v")
+    return rows.groupBy("batch").applyInArrow(_pairs, "batch long, a int, b int, same boolean, d double, d_shifted double")
+
+
+def _pairs(rows: pa.Table) -> pa.Table:
+    n, slot = rows.num_rows, rows["slot"].to_numpy()
+    x = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    d, shifted = np.zeros((n, n)), np.zeros((n, n))
+    for column in x.T:
+        gap = column[:, None] - column
+        d += gap * gap
+        shifted += (gap + TRIPLET_SHIFT) * (gap + TRIPLET_SHIFT)
+    label = rows["label"].to_pandas()
+    a, b = np.nonzero(slot[:, None] != slot)
+    same = pa.array((label.to_numpy()[:, None] == label.to_numpy())[a, b], mask=(label.isna().to_numpy()[a] | label.isna().to_numpy()[b]))
+    columns = [
+        pa.array(np.full(len(a), rows["batch"][0].as_py(), np.int64)), pa.array(slot[a], pa.int32()), pa.array(slot[b], pa.int32()), same,
+        pa.array(np.sqrt(d[a, b])), pa.array(np.sqrt(shifted[a, b])),
+    ]
+    return pa.Table.from_arrays(columns, names=["batch", "a", "b", "same", "d", "d_shifted"])
 
 
 def positives(pairs: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, gallery)"""
-    rows = splits.per_class(items(spark, sf_dir), RATIO, SEED)
+    """(queries, gallery), written once: several steps read either."""
+    rows = settle(splits.per_class(items(spark, sf_dir), RATIO, SEED), "split")
     return rows.filter("is_query").drop("is_query"), rows.filter("not is_query").drop("is_query")
 
 

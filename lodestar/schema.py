@@ -7,11 +7,6 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-CATALOGUE = "item_id long, path string, class_name string, label int"
-ITEMS = "vec_id long, embedding array<double>, label int"
-BATCHES = "batch long, slot int, vec_id long, label int"
-NEIGHBOURS = "q long, g long, rank int, d double, ql int, gl int"
-TRIPLETS = "batch long, a int, p int, n int, d_ap double, d_an double"
 EPOCH_LOG = "run string, epoch int, loss double, mean_pos_dist double, mean_neg_dist double, triplets_mined long, recall map<int,double>"
 HEAD_WEIGHTS = "run string, tag string, layer string, row int, values array<double>"
 

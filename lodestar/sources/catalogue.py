@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.functions.image import png, resized
+from lodestar.operators.ranking import place
 from lodestar.schema import EngineConfig
+from lodestar.sources.shared import settle
 
 
 def class_of(path: Column) -> Column:
@@ -22,13 +25,20 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def with_labels(files: DataFrame) -> DataFrame:
-    """``files`` (path, more) with item_id, class_name and label: classes numbered by name, items by path."""
-    rows = files.withColumn("class_name", class_of(F.col("path")))
-    classes = rows.select("class_name").distinct()
-    classes = classes.withColumn("label", F.row_number().over(W.orderBy("class_name")) - 1)
-    rows = rows.join(classes, "class_name")
-    return rows.withColumn("item_id", F.xxhash64("path"))
+def _classes(files: DataFrame) -> DataFrame:
+    """(class_name, label) of ``files`` (path): classes numbered by name."""
+    names = files.select(class_of(F.col("path")).alias("class_name")).distinct()
+    return place(names, [], "class_name").select("class_name", F.col("_place").cast("int").alias("label"))
+
+
+def with_labels(files: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """``files`` (path, more) with item_id (a hash: the path is the key), class_name and label."""
+    rows = files.withColumns({"class_name": class_of(F.col("path")), "item_id": F.xxhash64("path")})
+    return rows.join(_classes(files) if classes is None else classes, "class_name")
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
 
 
 def labelled_files(spark: SparkSession, root: str) -> DataFrame:
@@ -36,16 +46,18 @@ def labelled_files(spark: SparkSession, root: str) -> DataFrame:
 
     Files directly in ``root`` have no class and are left out. Contents are not read.
     """
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
-    return with_labels(files).select("item_id", "path", "class_name", "label")
+    return with_labels(_listed(spark, root)).select("item_id", "path", "class_name", "label")
+
 
+def labelled_images(spark: SparkSession, root: str, cache: bool = False, size: int = 224) -> DataFrame:
+    """The same with the decoded ``image``, decoded when read; if ``cache``, resized to a square of ``size`` and kept on the executors.
 
-def labelled_images(spark: SparkSession, root: str, cache: bool = False) -> DataFrame:
-    """The same with the decoded ``image``; kept on the executors if ``cache``, else decoded when read."""
+    Classes come from the listing, so no image is decoded for them.
+    """
     images = spark.read.format("image").option("dropInvalid", True).load(f"{root.rstrip('/')}/*/*")
-    rows = with_labels(images.withColumn("path", F.col("image.origin")))
+    rows = with_labels(images.withColumn("path", F.col("image.origin")), _classes(_listed(spark, root)))
     rows = rows.select("item_id", "path", "class_name", "label", "image")
-    return rows.persist() if cache else rows
+    return resized(rows, size).persist() if cache else rows
 
 
 def images_at(spark: SparkSession, *paths: str) -> DataFrame:
@@ -70,31 +82,49 @@ def append_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("run").parquet(path)
 
 
-def save_dataset(rows: DataFrame, table: str) -> None:
-    """Replace a table: items with labels, vectors and the points of a map."""
+def print_metrics(rows: DataFrame, n: int = 20) -> None:
+    """The last ``n`` rows of an epoch log to the standard output."""
+    rows.orderBy(F.desc("epoch")).limit(n).orderBy("epoch").show(n, truncate=False)
+
+
+def save_dataset(rows: DataFrame, table: str, points: DataFrame | None = None, key: str = "vec_id") -> None:
+    """Replace a table of items with labels and vectors; ``points`` (key, x, y) of a map are attached by key."""
+    rows = rows if points is None else rows.join(points, key, "left")
     rows.write.mode("overwrite").saveAsTable(table)
 
 
-def save_images(images: DataFrame, path: str) -> None:
-    """``images`` (class_name, out_name, content) to parquet, one folder for each class."""
-    images.select("class_name", "out_name", "content").write.mode("append").partitionBy("class_name").parquet(path)
+def save_images(images: DataFrame, root: str) -> DataFrame:
+    """``images`` (class_name, out_name, content) as files ``root``/class_name/out_name; (path, bytes) of each.
 
+    ``root``: a URI of a store that pyarrow reaches from every executor. A file is written beside its
+    place and then moved there, so a task that runs twice leaves whole files.
+    """
 
-def encode_ppm(tensors: DataFrame) -> DataFrame:
-    """``tensors`` (class_name, out_name, height, width, rgb array<float>) with ``content``, a binary PPM."""
-    import numpy as np
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root.rstrip("/"))
+        for b in batches:
+            paths, sizes = [], []
+            for folder, name, content in zip(*(b[c].to_pylist() for c in ("class_name", "out_name", "content")), strict=True):
+                store.create_dir(f"{top}/{folder}", recursive=True)
+                beside = f"{top}/{folder}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as out:
+                    out.write(content)
+                store.move(beside, f"{top}/{folder}/{name}")
+                paths.append(f"{root.rstrip('/')}/{folder}/{name}")
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return settle(images.select("class_name", "out_name", "content").mapInArrow(run, "path string, bytes long"), "saved-images")
+
+
+def encode_png(tensors: DataFrame) -> DataFrame:
+    """``tensors`` (class_name, out_name, height, width, rgb array<float>) with ``content``, a PNG."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for h, w, rgb in zip(b["height"].to_pylist(), b["width"].to_pylist(), b["rgb"], strict=True):
-                body = np.clip(np.rint(np.array(rgb.as_py())), 0, 255).astype(np.uint8).tobytes()
-                out.append(b"P6 %d %d 255\n" % (w, h) + body)
+            out = [png(np.array(rgb.as_py()).reshape(h, w, 3)) for h, w, rgb in zip(b["height"].to_pylist(), b["width"].to_pylist(), b["rgb"], strict=True)]
             yield pa.RecordBatch.from_arrays([b["class_name"], b["out_name"], pa.array(out, pa.binary())], names=["class_name", "out_name", "content"])
 
     return tensors.select("class_name", "out_name", "height", "width", "rgb").mapInArrow(run, "class_name string, out_name string, content binary")
-
-
-def local_root(path: str) -> str:
-    """A folder of this machine as a URI."""
-    return Path(path).absolute().as_uri()

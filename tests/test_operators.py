@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from functools import reduce
 
@@ -201,8 +202,10 @@ def test_pk_wraps_and_needs_enough_classes(spark):
         mine = [r["vec_id"] for r in got if r["batch"] == b]
         assert len({r["label"] for r in got if r["batch"] == b}) == 2
         assert all(mine.count(x) == 2 for x in mine)
-    with pytest.raises(ValueError):
+    with pytest.raises(sampling.TooFewClasses):
         sampling.pk_batches(rows, 5, 2)
+    index = sampling.pk_index(rows)
+    assert sorted(map(tuple, sampling.pk_batches(None, 2, 4, index=index).collect())) == sorted(map(tuple, got))
 
 
 def test_batch_scan_is_consecutive(spark):
@@ -300,12 +303,43 @@ def test_training_learns_saves_and_repeats(spark, tmp_path):
     assert all(r["recall"][1] <= r["recall"][3] for r in log)
     again = Head.load(spark, tmp_path.as_uri(), "a", "last")
     assert all(np.allclose(a, b) for x, y in zip(head.layers, again.layers, strict=True) for a, b in zip(x, y, strict=True))
-    assert len(training.train(train, config)[1]) == 3
+    losses = training.train(train, config)[1]
+    assert len(losses) == 3 * 2 and all(x > 0 for x in losses)  # two batches an epoch
+    assert training.train(train, config)[1] == losses
+    assert training.train(train, dataclasses.replace(config, margin=1e-12))[1] == []  # no triplets, no steps
+    said = []
+    training.train_and_evaluate(train, val, dataclasses.replace(config, epochs=1), report=said.append)
+    assert said == ["epoch 0: new best mean recall %.4f" % (sum(log[0]["recall"].values()) / 2)]
     arrow = {r["vec_id"]: r["embedding"] for r in head.embed(val).collect()}
     column = {r["vec_id"]: r["e"] for r in val.select("vec_id", head.column(F.col("embedding")).alias("e")).collect()}
     assert all(np.allclose(arrow[k], column[k]) for k in arrow)
 
 
+def test_tuning_trains_fresh_heads(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(5, 6))
+    rows = items(spark, [(k, k % 5, (centers[k % 5] + 0.5 * rng.normal(size=6)).tolist()) for k in range(100)])
+    rows = splits.per_class(rows, 0.4)
+    train, rest = rows.filter("not is_query").drop("is_query"), rows.filter("is_query").drop("is_query")
+    val, test = rest.filter("vec_id % 2 = 0"), rest.filter("vec_id % 2 = 1")
+    space = {"epochs": ("int", 1, 2), "lr": ("log", 1e-3, 1e-2), "margin": ("float", 0.5, 1.0), "output_dim": ("choice", 2, 3), "hidden_dim": ("choice", 4, 8), "P": ("choice", 2, 9), "K": ("choice", 3)}
+    config = EngineConfig(recall_k=(1, 3))
+    trials, log = training.tune(train, val, train, test, 3, config, space)
+    found = {r["trial_id"]: r for r in trials.collect()}
+    assert len(found) == 3 and {r["P"] for r in found.values()} <= {2, 9}
+    for k, r in found.items():
+        epochs = sorted((x for x in log.collect() if x["run"] == f"trial-{k}"), key=lambda x: x["epoch"])
+        assert len(epochs) == (r["epochs"] if r["P"] == 2 else 0)
+        if r["P"] == 2:
+            own = dataclasses.replace(config, classes_per_batch=2, items_per_class=3, **{n: r[n] for n in ("epochs", "lr", "margin", "output_dim", "hidden_dim")})
+            head, again = training.train_and_evaluate(train, val, own)
+            assert r["objective"] == pytest.approx(sum(again[-1]["recall"].values()) / 2) == pytest.approx(sum(epochs[-1]["recall"].values()) / 2)
+            assert r["test_recall"] == pytest.approx(training.evaluate(head, train, test, (1, 3)))
+        else:
+            assert r["objective"] is None and r["test_recall"] is None
+    assert training.best(trials).first()["objective"] == max(r["objective"] for r in found.values() if r["objective"] is not None)
+
+
 def test_search_picks_the_best(spark):
     rows = training.search(spark, lambda t: -abs(t["margin"] - 0.5), 20)
     top = training.best(rows).first()

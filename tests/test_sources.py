@@ -1,20 +1,11 @@
 from __future__ import annotations
 
-import struct
-import zlib
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.functions import image
 from lodestar.sources import catalogue
-
-
-def png(rgb: np.ndarray) -> bytes:
-    h, w, _ = rgb.shape
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    raw = b"".join(b"\0" + row.tobytes() for row in rgb.astype(np.uint8))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+from lodestar.sources.collection import Collection, training
 
 
 def tree(root):
@@ -24,7 +15,7 @@ def tree(root):
         (root / name).mkdir()
         for k in range(2):
             images[f"{name}/{k}.png"] = rng.integers(0, 256, (6, 5, 3))
-            (root / name / f"{k}.png").write_bytes(png(images[f"{name}/{k}.png"]))
+            (root / name / f"{k}.png").write_bytes(image.png(images[f"{name}/{k}.png"]))
     (root / "stray.txt").write_text("no class")
     return images
 
@@ -60,11 +51,47 @@ def test_sinks(spark, tmp_path):
         catalogue.save_dataset(log, "lodestar_items")
     assert spark.table("lodestar_items").count() == 1
     spark.sql("DROP TABLE lodestar_items")
-    rgb = [float(x) for x in range(12)]
-    tensors = spark.createDataFrame([("a", "0-x.png", 2, 2, rgb)], "class_name string, out_name string, height int, width int, rgb array<double>")
-    catalogue.save_images(catalogue.encode_ppm(tensors), f"{tmp_path.as_uri()}/img")
-    row = spark.read.parquet(f"{tmp_path.as_uri()}/img").first()
-    assert row["class_name"] == "a" and bytes(row["content"]) == b"P6 2 2 255\n" + bytes(range(12))
+    points = spark.createDataFrame([("r1", 1.0, 2.0)], "run string, x double, y double")
+    catalogue.save_dataset(log, "lodestar_map", points, "run")
+    assert tuple(spark.table("lodestar_map").select("loss", "x", "y").first()) == (0.5, 1.0, 2.0)
+    spark.sql("DROP TABLE lodestar_map")
+
+
+def test_metrics_on_the_standard_output(spark, capsys):
+    catalogue.print_metrics(spark.createDataFrame([("r1", k, 0.5) for k in range(30)], "run string, epoch int, loss double"), 2)
+    lines = capsys.readouterr().out.splitlines()
+    assert [x.split("|")[2].strip() for x in lines if "r1" in x] == ["28", "29"]
+
+
+def test_image_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    images = {f"{n}-x{k}.png": rng.integers(0, 256, (3, 4, 3)) for n in range(2) for k in range(2)}
+    rows = [(f"c{name[-5]}", name, 3, 4, [float(x) for x in img.ravel()]) for name, img in images.items()]
+    tensors = spark.createDataFrame(rows, "class_name string, out_name string, height int, width int, rgb array<double>").repartition(2)
+    saved = catalogue.save_images(catalogue.encode_png(tensors), f"{tmp_path.as_uri()}/out")
+    assert sorted(r["path"].split("/out/")[1] for r in saved.collect()) == ["c0/0-x0.png", "c0/1-x0.png", "c1/0-x1.png", "c1/1-x1.png"]
+    assert sorted(p.name for p in (tmp_path / "out").glob("*/*")) == sorted(images)
+    again = catalogue.labelled_images(spark, f"{tmp_path.as_uri()}/out").collect()
+    assert len(again) == 4 and all((image.decode(r["image"].asDict()) == images[r["path"].split("/")[-1]]).all() for r in again)
+
+
+def test_collections(spark, tmp_path):
+    images = tree(tmp_path)
+    cached = catalogue.labelled_images(spark, tmp_path.as_uri(), cache=True, size=8)
+    for r in cached.collect():
+        want = image.resize(images["/".join(r["path"].split("/")[-2:])].astype(float), 8, 8)
+        assert np.abs(image.decode(r["image"].asDict()) - want).max() <= 0.5
+    whole = Collection(cached)
+    tensors = {r["path"]: np.array(r["tensor"]) for r in whole.tensors().collect()}
+    for r in cached.collect():
+        assert np.allclose(tensors[r["path"]], image.to_tensor(image.decode(r["image"].asDict())).ravel(), atol=1e-4)
+    some = whole.with_transform(lambda img, rng: img + rng.random()).subset(cached.filter("class_name = 'a'"))
+    a, b = ({r["path"]: r["tensor"] for r in some.tensors(seed).collect()} for seed in (1, 2))
+    assert len(a) == 2 and a != b
+    assert sorted((r["label"], r["pos"], r["n"]) for r in some.index().collect()) == [(0, 0, 2), (0, 1, 2)]
+    drawn = whole.with_transform(training).tensors(5).first()["tensor"]
+    assert len(drawn) == 3 * 224 * 224
+    cached.unpersist()
 
 
 def test_path_functions(spark):
