@@ -2,7 +2,7 @@
 
 All stages but the last return the columns of ``documents``; the last returns the pieces of packed
 sequences. SQL cannot express the classifier or the tokenizer, so the pipeline is tested against
-versions of its stages in plain Python.
+versions of its stages in plain Python. What the stages do with nulls and other corners is in ``lodestar.llm.stages``.
 """
 
 from __future__ import annotations

@@ -151,6 +151,22 @@ def plain_scores(train, y, points, shrink, pooled):
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
+def plain_quality(texts, labels, points):
+    """Scores of ``points`` as learned from ``texts`` (id to text) and ``labels`` (id, quality)."""
+    known = {k: q for k, q in labels if q is not None and k in texts and not zlib.crc32(str(k).encode()) % 5 == 0}
+    ids = sorted(known)
+    x, y = np.array([plain_statistics(texts[k]) for k in ids]), np.array([known[k] for k in ids])
+    losses = {}
+    for pair in product(quality.SHRINKS, quality.TO_POOLED):
+        total = 0
+        for k in range(quality.FOLDS):
+            own = np.arange(len(ids)) % quality.FOLDS == k
+            p = np.clip(plain_scores(x[~own], y[~own], x[own], *pair), 1e-6, 1 - 1e-6)
+            total -= np.log(np.where(y[own] == 1, p, 1 - p)).sum()
+        losses[pair] = round(total, 6)
+    return plain_scores(x, y, np.array([plain_statistics(t) for t in points]), *min(losses, key=losses.get))
+
+
 def test_quality_query_equals_a_plain_version(spark, tmp_path):
     rng = random.Random(11)
     good = lambda: prose(rng, rng.randint(40, 200))
@@ -162,19 +178,7 @@ def test_quality_query_equals_a_plain_version(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0
-    texts = dict(rows)
-    known = {k: q for k, q in labels if q is not None and k in texts and not held(k)}
-    ids = sorted(known)
-    x, y = np.array([plain_statistics(texts[k]) for k in ids]), np.array([known[k] for k in ids])
-    losses = {}
-    for pair in product(quality.SHRINKS, quality.TO_POOLED):
-        total = 0
-        for k in range(quality.FOLDS):
-            own = np.arange(len(ids)) % quality.FOLDS == k
-            p = np.clip(plain_scores(x[~own], y[~own], x[own], *pair), 1e-6, 1 - 1e-6)
-            total -= np.log(np.where(y[own] == 1, p, 1 - p)).sum()
-        losses[pair] = round(total, 6)
-    want = plain_scores(x, y, np.array([plain_statistics(t) for _, t in rows]), *min(losses, key=losses.get))
+    want = plain_quality(dict(rows), labels, [t for _, t in rows])
     got = sorted((r["doc_id"] is not None, r["doc_id"], r["score"], r["held_out"]) for r in QUERIES["op9_quality"](spark, str(tmp_path)).collect())
     want = sorted((k is not None, k, s, held(k)) for (k, _), s in zip(rows, want.tolist(), strict=True))
     assert [(a[1], a[3]) for a in got] == [(b[1], b[3]) for b in want]

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from conftest import DATA, assert_same
-from lodestar.llm import quality, stages
+from lodestar.llm import stages
 from lodestar.llm.queries import ORACLE_SQL, QUERIES
 
 from .corpus import documents, empty
+from .test_models import plain_quality
 from .test_near_duplicates import brute_components, brute_print
-from .test_text_rules import brute_contamination
+from .test_text_rules import brute_contamination, plain_verdicts
 from .test_tokens import ids_of
 
 
@@ -32,7 +35,7 @@ def test_stages(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns = docs.columns
+    columns, sources = docs.columns, {r["doc_id"]: r["source"] for r in docs.collect()}
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stages.settle(stage(spark, docs, DATA), name)
@@ -41,13 +44,13 @@ def test_stages(spark):
         gone = set(before) - set(after)
         assert gone and set(after.items()) <= set(before.items())
         if name == "quality_classifier":
-            model = quality.fit(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
             ids = sorted(before)
-            scores = model.score(np.array([quality.statistics(before[k]) for k in ids]))
+            scores = plain_quality(before, labels.items(), [before[k] for k in ids])
             assert {k for k, s in zip(ids, scores, strict=True) if s < 0.3} == gone
             assert np.mean([labels[k] == 0 for k in gone if k in labels]) > 0.5
         elif name == "quality_rules":
-            assert all(len((before[k] or "").split()) >= 50 for k in after)
+            ids = sorted(before)
+            assert {k for k, kept in zip(ids, plain_verdicts([(before[k], sources[k]) for k in ids]), strict=True) if kept} == set(after)
         elif name == "simhash_near_dedup":
             ids = sorted(before)
             roots = brute_components([brute_print(before[k]) for k in ids])
@@ -60,7 +63,17 @@ def test_stages(spark):
             assert dirty == gone
         before = after
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
-    assert sum(r["length"] for r in rows) == sum(len(ids_of(t)) for t in before.values())
+    whole, sequences, at = {k: ids_of(t) for k, t in before.items()}, {}, {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == at.get(r["doc_id"], 0) and r["doc_tokens"] == len(whole[r["doc_id"]])
+        at[r["doc_id"]] = r["start"] + r["length"]
+        assert r["ids_crc32"] == zlib.crc32(whole[r["doc_id"]][r["start"] : at[r["doc_id"]]].tobytes())
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert at == {k: len(x) for k, x in whole.items()}
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [a for a, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 1024
+    assert sum(at.values()) > 0.98 * 1024 * len(sequences)
 
 
 def brute_contamination_fast(text, items):

@@ -6,6 +6,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import pytest
 
 from lodestar.llm import decontaminate, host_rules, license_texts, licenses
@@ -173,6 +174,40 @@ def brute_counts(text):
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
 
 
+def plain_verdicts(rows):
+    """Whether each of (text, source) is kept, host by host."""
+    judged = []
+    for text, host in rows:
+        n, chars, symbols, dup, repeated = brute_counts(text)
+        lines = sum(bool(spaced(x)) for x in (text or "").split("\n"))
+        points = (symbols > n / 10) + (symbols > n / 2) + (dup >= 3) * ((dup > 0.3 * lines) + (dup > 0.6 * lines)) + (repeated > 0.3 * n)
+        points += (chars < 2.5 * n or chars > 12 * n) + (chars < 2 * n or chars > 20 * n)
+        judged.append((host, n < 50 or repeated > 0.5 * n, points))
+    hosts = {}
+    for host, failed, points in judged:
+        n, k = hosts.get(host, (0, 0))
+        hosts[host] = n + 1, k + (failed or points > 0)
+    mean = (sum(k for _, k in hosts.values()) + 1) / (len(rows) + 2)
+    between = (np.var([k / n for n, k in hosts.values()], ddof=1) if len(hosts) > 1 else 0) - mean * (1 - mean) * np.mean([1 / n for n, _ in hosts.values()])
+    weight = min(1000, max(2, mean * (1 - mean) / between - 1 if between > 0 else host_rules.PRIOR_DOCS))
+    rate = {host: (k + mean * weight) / (n + weight) for host, (n, k) in hosts.items()}
+    return [not failed and (points == 0 or rate[h] / (1 - rate[h]) * host_rules.POINT**points <= 1) for h, failed, points in judged]
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    rng = random.Random(13)
+    texts = awkward_texts()
+    for k in range(200):
+        text = prose(rng, rng.randint(40, 120))
+        text = text.replace(" ", rng.choice([" ", " ", " ", " # ", " a ", "_"])) if k % 3 == 0 else text
+        texts.append("\n".join([text] * rng.choice([1, 1, 2])) if k % 5 else text + "\nmore of it" * rng.randint(0, 9))
+    rows = [(k, x, rng.choice(["a", "b", "c", None, f"h{k % 20}"])) for k, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["v"]["kept"] for r in host_rules.verdicts(docs, "v").collect()}
+    want = plain_verdicts([(x, h) for _, x, h in rows])
+    assert [got[k] for k in range(len(rows))] == want and 0 < sum(want) < len(want)
+
+
 def test_rules(spark):
     docs = documents(spark)
     rows = host_rules.verdicts(docs, "verdict").collect()
