@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import vector
 from lodestar.functions.hashing import draw_sql
 from lodestar.functions.vector import doubles
 from lodestar.operators import mining, sampling, search, splits
 from lodestar.sources.shared import settle
 
 RATIO, SEED, P, K, MARGIN, KS = 0.3, 42, 4, 4, 0.7, (1, 3, 10)
+#: Where ``knn_far_from_zero`` puts its vectors.
+FAR = 1e6
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +109,36 @@ def cosine_knn_graph_15(spark, sf_dir):
     return _rounded(search.knn(rows, rows, 15, "cosine", same=True).select("q", "g", "rank", "d"), "d")
 
 
+def _altered(how):
+    """The split with its vectors altered."""
+
+    def of(spark, sf_dir):
+        return [side.withColumn("embedding", how(F.col("embedding"), F.col("vec_id"))) for side in split(spark, sf_dir)]
+
+    return of
+
+
+_far = _altered(lambda v, k: F.transform(v, lambda x: x * 1e-3 + FAR))
+_some_zero = _altered(lambda v, k: F.transform(v, lambda x: F.when(k % 5 == 0, 0.0).otherwise(x)))
+
+
+def knn_far_from_zero(spark, sf_dir):
+    """Vectors a thousandth as wide, a million away from zero: nothing of their distances is left in their norms."""
+    found = search.knn(*_far(spark, sf_dir), max(KS))
+    return found.select("q", "g", "rank", "ql", "gl", F.round("d", 9).alias("d"))
+
+
+def knn_zero_vectors(spark, sf_dir):
+    """Every fifth vector is zero; its cosine distance to any other is 1."""
+    return _rounded(search.knn(*_some_zero(spark, sf_dir), max(KS), "cosine").select("q", "g", "rank", "ql", "gl", "d"), "d")
+
+
+def knn_registered_metric(spark, sf_dir):
+    """The search by a metric that the library doesn't have: the sum of absolute differences."""
+    vector.register_metric("l1", lambda a, b, dim: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x))
+    return _rounded(search.knn(*split(spark, sf_dir), max(KS), "l1").select("q", "g", "rank", "ql", "gl", "d"), "d")
+
+
 def recall_at_k(spark, sf_dir):
     queries, _, found = _both(spark, sf_dir)
     return search.recall(queries, found, KS)
@@ -185,6 +218,7 @@ QUERIES = {
     for f in (
         class_index, class_counts, split_per_class, split_positional, split_group_summary, subset_reindex, batch_scan, pk_batches,
         pk_wraparound, recall_at_k, recall_at_k_long, mean_recall, recall_per_class, recall_pk_gallery, gemm_knn, knn_unrolled,
+        knn_far_from_zero, knn_zero_vectors, knn_registered_metric,
         cosine_knn_graph_15, batch_pairs, positives, negatives, semi_hard_triplets, hard_triplets, hard_triplets_closest,
         triplet_loss, pos_neg_dist, epoch_rollup,
     )
@@ -213,12 +247,13 @@ def _dot(a: str, b: str) -> str:
 _METRICS = {
     "l2": _l2("q.v", "g.v"),
     "ip": f"-{_dot('q.v', 'g.v')}",
-    "cosine": f"1.0::DOUBLE - {_dot('q.v', 'g.v')} / (sqrt({_dot('q.v', 'q.v')}) * sqrt({_dot('g.v', 'g.v')}))",
+    "cosine": f"1.0::DOUBLE - CASE WHEN {_dot('q.v', 'q.v')} * {_dot('g.v', 'g.v')} = 0 THEN 0 ELSE {_dot('q.v', 'g.v')} / (sqrt({_dot('q.v', 'q.v')}) * sqrt({_dot('g.v', 'g.v')})) END",
 }
+_L1 = _sum("abs(z[1] - z[2])").format(a="q.v", b="g.v")
 
 
 def _knn(metric: str, queries: str, gallery: str, k: int, on: str = "true") -> str:
-    return f"""d AS (SELECT q.vec_id AS q, g.vec_id AS g, q.label AS ql, g.label AS gl, {_METRICS[metric]} AS d FROM {queries} q JOIN {gallery} g ON {on}),
+    return f"""d AS (SELECT q.vec_id AS q, g.vec_id AS g, q.label AS ql, g.label AS gl, {_METRICS.get(metric, metric)} AS d FROM {queries} q JOIN {gallery} g ON {on}),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, g) AS rank FROM d) WHERE rank <= {k})"""
 
 
@@ -284,6 +319,9 @@ ORACLE_SQL = {
     "knn_unrolled": f"WITH {_SPLIT}, {_knn('l2', *_QG, max(KS))} SELECT q, g, CAST(rank AS INT) AS rank, ql, gl, round(d, 6) AS d FROM nn",
     "gemm_knn": f"WITH {_ITEMS}, {_knn('l2', 'e', 'e', 5, 'q.vec_id <> g.vec_id')} SELECT q, g, CAST(rank AS INT) AS rank, round(d, 6) AS d FROM nn",
     "cosine_knn_graph_15": f"WITH {_ITEMS}, {_knn('cosine', 'e', 'e', 15, 'q.vec_id <> g.vec_id')} SELECT q, g, CAST(rank AS INT) AS rank, round(d, 6) AS d FROM nn",
+    "knn_far_from_zero": f"WITH {_SPLIT}, f AS (SELECT * REPLACE (list_transform(v, lambda x: x * 1e-3::DOUBLE + {FAR}::DOUBLE) AS v) FROM s), {_knn('l2', *(x.replace('FROM s', 'FROM f') for x in _QG), max(KS))} SELECT q, g, CAST(rank AS INT) AS rank, ql, gl, round(d, 9) AS d FROM nn",
+    "knn_zero_vectors": f"WITH {_SPLIT}, f AS (SELECT * REPLACE (list_transform(v, lambda x: CASE WHEN vec_id % 5 = 0 THEN 0 ELSE x END) AS v) FROM s), {_knn('cosine', *(x.replace('FROM s', 'FROM f') for x in _QG), max(KS))} SELECT q, g, CAST(rank AS INT) AS rank, ql, gl, round(d, 6) AS d FROM nn",
+    "knn_registered_metric": f"WITH {_SPLIT}, {_knn(_L1, *_QG, max(KS))} SELECT q, g, CAST(rank AS INT) AS rank, ql, gl, round(d, 6) AS d FROM nn",
     "recall_at_k": f"{_RECALL.format(knn=_knn('l2', *_QG, max(KS)))} SELECT {_SHARES} FROM h",
     "recall_at_k_long": f"{_RECALL.format(knn=_knn('l2', *_QG, max(KS)))} {_LONG}",
     "mean_recall": f"{_RECALL.format(knn=_knn('l2', *_QG, max(KS)))} SELECT round(avg(recall), 9) AS mean_recall FROM ({_LONG})",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,12 +18,13 @@ from lodestar.plans.retrieval import items
 from lodestar.schema import EngineConfig
 from lodestar.sources.catalogue import class_of
 
-SIDE, TOKENS, THRESHOLD = 8, 8, 0.2
+SIDE, TOKENS, THRESHOLD, LR, DECAY = 8, 8, 0.2, 1e-2, 1e-1
+
+
 def _v() -> Column:
     return F.col("embedding")
 
 
-
 def _long(rows: DataFrame, v) -> DataFrame:
     """(vec_id, pos, x) of an array expression."""
     return rows.select("vec_id", F.posexplode(v).alias("pos", "x")).withColumn("x", F.round("x", 6))
@@ -81,7 +83,6 @@ def _mask() -> Column:
     return F.col("v") > F.lit(THRESHOLD)
 
 
-
 def pixel_normalize(spark, sf_dir):
     return tiles(spark, sf_dir).withColumn("v", F.round(image.scale_normalize(F.col("v"), 0.485, 0.229, 1.0), 6))
 
@@ -117,6 +118,49 @@ def resize_nearest(spark, sf_dir):
     return image.resize_nearest(tiles(spark, sf_dir), SIDE, 4).withColumn("v", F.round("v", 6))
 
 
+def _on_tiles(spark, sf_dir, step, channels: int) -> DataFrame:
+    """(image, c, y, x, v) of ``step`` on every tile as an RGB array, its values brought to 0..255; c first in the result's arrays."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                img = (b["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, SIDE, SIDE) + 1) * 127.5
+                out = np.stack([step(np.repeat(x[..., None], 3, axis=2))[:channels] for x in img])
+                at = np.indices(out.shape).reshape(4, -1)
+                columns = [pa.array(b["vec_id"].to_numpy()[at[0]]), *(pa.array(at[k].astype(np.int32)) for k in (1, 2, 3)), pa.array(np.round(out.ravel(), 6))]
+                yield pa.RecordBatch.from_arrays(columns, names=["image", "c", "y", "x", "v"])
+
+    return items(spark, sf_dir).select("vec_id", "embedding").mapInArrow(run, "image long, c int, y int, x int, v double")
+
+
+def eval_transform(spark, sf_dir):
+    """Tiles resized to half their side, scaled and normalised by channel."""
+    return _on_tiles(spark, sf_dir, lambda img: image.to_tensor(img, SIDE // 2), 3)
+
+
+def resize_up(spark, sf_dir):
+    """Tiles resized to one and a half times their side, without normalising."""
+    return _on_tiles(spark, sf_dir, lambda img: image.resize(img, 3 * SIDE // 2, 3 * SIDE // 2).transpose(2, 0, 1), 1)
+
+
+def rotate_tile(spark, sf_dir):
+    return _on_tiles(spark, sf_dir, lambda img: image.rotate(img, float(image.DEGREES)).transpose(2, 0, 1), 1)
+
+
+def adamw_steps(spark, sf_dir):
+    """Class centroids as weights, after steps by the mean vectors of even and of odd items as gradients."""
+    rows = items(spark, sf_dir).select("label", (F.col("vec_id") % 2).alias("odd"), F.posexplode("embedding").alias("pos", "x"))
+    means = rows.groupBy("label", "pos").agg(F.avg("x").alias("w"), *(F.avg(F.when(F.col("odd") == k, F.col("x"))).alias(f"g{k}") for k in (0, 1)))
+    found = means.fillna(0.0).orderBy("label", "pos").collect()  # the head's weights: a row a class and place
+    dim = 1 + max(r["pos"] for r in found)
+    matrix = lambda name: np.array([r[name] for r in found]).reshape(-1, dim)
+    head = Head([(matrix("w"), np.zeros(len(found) // dim))])
+    for g in ("g0", "g1"):
+        head.step([(matrix(g), np.zeros(len(found) // dim))], LR, DECAY)
+    out = [(r["label"], r["pos"], round(float(v), 9)) for r, v in zip(found, head.layers[0][0].ravel(), strict=True)]
+    return spark.createDataFrame(out, "label int, pos int, value double")
+
+
 def gray_to_rgb(spark, sf_dir):
     return image.gray_to_rgb(tiles(spark, sf_dir)).withColumn("v", F.round("v", 6))
 
@@ -198,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         l2_normalize, l2_normalize_raw, conditional_normalize, token_mean_pool, pooled_or_mean, head_forward, embed, pixel_normalize,
-        hflip, vflip, mask_apply, mask_bbox, mask_crop, background_replace, resize_nearest, gray_to_rgb, best_checkpoint_flags,
+        hflip, vflip, mask_apply, mask_bbox, mask_crop, background_replace, resize_nearest, eval_transform, resize_up, rotate_tile, adamw_steps, gray_to_rgb, best_checkpoint_flags,
         best_checkpoint_final, path_label, augment_plan, augment_resume, trial_space, best_trial, train_head_log, pca_2d, class_centroids,
     )
 }
@@ -224,6 +268,23 @@ a AS (SELECT path, class_name, CAST(n AS INT) AS n, n || '-' || string_split(pat
   FROM p JOIN range(0, 4) r(n) ON true JOIN b ON bg = {draw_sql("'bg:42:' || path || ':' || n")} % (SELECT count(*) FROM b))"""
 
 
+def _taps(new: int) -> str:
+    """(o, i, w): the weight of an old place for a new one, by a triangle filter."""
+    scale = f"({SIDE}::DOUBLE / {new})"
+    w = f"greatest(0, 1 - abs(i - ((o + 0.5::DOUBLE) * {scale} - 0.5::DOUBLE)) / greatest(1, {scale}))"
+    return f"w AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, {w} AS w FROM range(0, {new}) a(o), range(0, {SIDE}) b(i)))"
+
+
+def _resized(new: int) -> str:
+    return f"""{_TILES}, {_taps(new)},
+r AS (SELECT image, a.o AS y, b.o AS x, sum((v + 1) * 127.5::DOUBLE * a.w * b.w) AS v FROM t JOIN w a ON t.y = a.i JOIN w b ON t.x = b.i GROUP BY image, a.o, b.o)"""
+
+
+_STEPS = f"""WITH {_L}, g AS (SELECT label, pos, avg(v) AS w, coalesce(avg(v) FILTER (vec_id % 2 = 0), 0) AS g0, coalesce(avg(v) FILTER (vec_id % 2 = 1), 0) AS g1 FROM l GROUP BY label, pos),
+a AS (SELECT *, w * (1 - {LR * DECAY!r}::DOUBLE) - {LR}::DOUBLE * g0 / (abs(g0) + 1e-8::DOUBLE) AS w1 FROM g),
+b AS (SELECT *, (0.09::DOUBLE * g0 + 0.1::DOUBLE * g1) / 0.19::DOUBLE AS m, (0.000999::DOUBLE * g0 * g0 + 0.001::DOUBLE * g1 * g1) / 0.001999::DOUBLE AS s FROM a)"""
+
+
 def _trials() -> str:
     columns = []
     for name, (kind, *bounds) in training.SPACE.items():
@@ -255,6 +316,13 @@ ORACLE_SQL = {
     "mask_crop": f"{_TILES}, {_BOX} SELECT image, y - ymin AS y, x - xmin AS x, round(v, 6) AS v FROM t JOIN b USING (image) WHERE y >= ymin AND y < ymax AND x >= xmin AND x < xmax",
     "background_replace": f"{_TILES} SELECT t.image, t.y, t.x, round(CASE WHEN t.v > {THRESHOLD}::DOUBLE THEN o.v ELSE t.v END, 6) AS v FROM t JOIN t o ON t.image = o.image AND t.y = o.y AND t.x = 7 - o.x",
     "resize_nearest": f"{_TILES} SELECT image, CAST(ny AS INT) AS y, CAST(nx AS INT) AS x, round(v, 6) AS v FROM t JOIN range(0, 4) a(ny) ON y = ny * 8 // 4 JOIN range(0, 4) b(nx) ON x = nx * 8 // 4",
+    "eval_transform": f"""{_resized(SIDE // 2)} SELECT image, CAST(c AS INT) AS c, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round((v / 255 - m) / s, 6) AS v
+  FROM r, (VALUES (0, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456::DOUBLE, 0.224::DOUBLE), (2, 0.406::DOUBLE, 0.225::DOUBLE)) n(c, m, s)""",
+    "resize_up": f"{_resized(3 * SIDE // 2)} SELECT image, 0 AS c, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(v, 6) AS v FROM r",
+    "rotate_tile": f"""{_TILES}, p AS (SELECT t.image, t.y, t.x, CAST(round_even(cos(a) * (x - 3.5) - sin(a) * (y - 3.5) + 3.5, 0) AS INT) AS sx,
+  CAST(round_even(sin(a) * (x - 3.5) + cos(a) * (y - 3.5) + 3.5, 0) AS INT) AS sy FROM t, (SELECT radians({image.DEGREES}::DOUBLE) AS a))
+SELECT p.image, 0 AS c, p.y, p.x, round(coalesce((t.v + 1) * 127.5::DOUBLE, 0), 6) AS v FROM p LEFT JOIN t ON t.image = p.image AND t.y = sy AND t.x = sx""",
+    "adamw_steps": f"{_STEPS} SELECT label, CAST(pos AS INT) AS pos, round(w1 * (1 - {LR * DECAY!r}::DOUBLE) - {LR}::DOUBLE * m / (sqrt(s) + 1e-8::DOUBLE), 9) AS value FROM b",
     "gray_to_rgb": f"{_TILES} SELECT image, y, x, round(v, 6) AS v, CAST(c AS INT) AS c FROM t, range(0, 3) r(c)",
     "best_checkpoint_flags": f"{_LOG} SELECT * FROM f",
     "best_checkpoint_final": f"{_LOG} SELECT run, max(epoch) FILTER (is_best_metric) AS best_metric_epoch, max(epoch) FILTER (is_best_loss) AS best_loss_epoch, max(epoch) FILTER (is_last) AS last_epoch FROM f GROUP BY run",
