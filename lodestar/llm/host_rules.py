@@ -12,7 +12,10 @@ A host's rows are counted by a combining aggregate, and the join back is one row
 broadcast by Spark where the hosts are few and split where one host has very many documents.
 
 Nulls and corners: null text has no words and so fails; rows without a source are a host of their
-own; an empty table gives no row; repeated rows are judged each; other columns are kept or ignored.
+own; a rate whose odds are just 1 keeps the document; an empty table gives no row; repeated rows are
+judged each; a very long text is counted whole, in time in proportion to its words (times the
+logarithm of their number where windows repeat); other columns are kept or ignored, whatever their
+names.
 """
 
 from __future__ import annotations
