@@ -12,8 +12,12 @@ from lodestar.functions import image, vector
 from lodestar.functions.hashing import draw_sql
 from lodestar.operators import mining, sampling
 from lodestar.operators.head import Head
+from lodestar.operators.search import knn
 from lodestar.plans import training
+from lodestar.plans.map2d import fuzzy_graph as fuzzy_edges
 from lodestar.plans.map2d import map_2d
+from lodestar.plans.map2d import neighbour_map as manifold
+from lodestar.plans.retrieval import ORACLE_SQL as RETRIEVAL
 from lodestar.plans.retrieval import items
 from lodestar.schema import EngineConfig
 from lodestar.sources.catalogue import class_of
@@ -232,6 +236,18 @@ def pca_2d(spark, sf_dir):
     return map_2d(items(spark, sf_dir))
 
 
+def neighbour_map(spark, sf_dir):
+    """A layout of the graph of 15 neighbours, ten epochs."""
+    return manifold(items(spark, sf_dir), epochs=10)
+
+
+def fuzzy_graph(spark, sf_dir):
+    """The graph that the layout works on: memberships of 15 neighbours by cosine, both directions joined."""
+    rows = items(spark, sf_dir)
+    found = fuzzy_edges(knn(rows, rows, 15, "cosine", same=True).select("q", "g", "d"), 15)
+    return found.withColumn("weight", F.round("weight", 6))
+
+
 def class_centroids(spark, sf_dir):
     from lodestar.operators.head import centroids
 
@@ -243,7 +259,7 @@ QUERIES = {
     for f in (
         l2_normalize, l2_normalize_raw, conditional_normalize, token_mean_pool, pooled_or_mean, head_forward, embed, pixel_normalize,
         hflip, vflip, mask_apply, mask_bbox, mask_crop, background_replace, resize_nearest, eval_transform, resize_up, rotate_tile, adamw_steps, gray_to_rgb, best_checkpoint_flags,
-        best_checkpoint_final, path_label, augment_plan, augment_resume, trial_space, best_trial, train_head_log, pca_2d, class_centroids,
+        best_checkpoint_final, path_label, augment_plan, augment_resume, trial_space, best_trial, train_head_log, pca_2d, neighbour_map, fuzzy_graph, class_centroids,
     )
 }
 
@@ -268,6 +284,21 @@ a AS (SELECT path, class_name, CAST(n AS INT) AS n, n || '-' || string_split(pat
   FROM p JOIN range(0, 4) r(n) ON true JOIN b ON bg = {draw_sql("'bg:42:' || path || ':' || n")} % (SELECT count(*) FROM b))"""
 
 
+#: Rates by bisection, a round of it for each step of the recursion.
+_FUZZY = f"""WITH RECURSIVE {RETRIEVAL["cosine_knn_graph_15"].removeprefix("WITH ").rsplit("SELECT", 1)[0]},
+m AS (SELECT q, g, d, greatest(0, d - coalesce(min(d) FILTER (d > 0) OVER (PARTITION BY q), 0)) AS beyond FROM nn),
+f AS (SELECT q, list(beyond ORDER BY beyond) AS far, avg(d) AS mean FROM m GROUP BY q),
+s(q, n, low, high, rate) AS (
+  SELECT q, 0, 0::DOUBLE, 'infinity'::DOUBLE, 1::DOUBLE FROM f
+  UNION ALL
+  SELECT q, n + 1, CASE WHEN more THEN low ELSE rate END, CASE WHEN more THEN rate ELSE high END,
+    CASE WHEN more THEN (low + rate) / 2 WHEN isinf(high) THEN 2 * rate ELSE (rate + high) / 2 END
+  FROM (SELECT s.*, list_sum(list_transform(f.far, lambda x: exp(-x / greatest(s.rate, 1e-300::DOUBLE)))) > log2(15) AS more FROM s JOIN f USING (q) WHERE n < 64)),
+w AS (SELECT m.q AS a, g AS b, exp(-beyond / greatest(rate, 1e-3::DOUBLE * mean)) AS w FROM m JOIN s ON m.q = s.q AND n = 64 JOIN f ON f.q = m.q),
+u AS (SELECT a, b, w FROM w UNION ALL SELECT b, a, w FROM w)
+SELECT a, b, round(sum(w) - CASE WHEN count(*) > 1 THEN max(w) * min(w) ELSE 0 END, 6) AS weight FROM u GROUP BY a, b"""
+
+
 def _taps(new: int) -> str:
     """(o, i, w): the weight of an old place for a new one, by a triangle filter."""
     scale = f"({SIDE}::DOUBLE / {new})"
@@ -334,5 +365,6 @@ SELECT page_id, class_name, label FROM p JOIN c USING (class_name)""",
   SELECT class_name FROM a WHERE CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) < 8 GROUP BY class_name HAVING count(*) >= 16)""",
     "trial_space": f"{_trials()} SELECT * REPLACE (round(lr, 9) AS lr, round(weight_decay, 9) AS weight_decay, round(margin, 9) AS margin, round(dropout, 9) AS dropout) FROM tr",
     "best_trial": f"{_trials()} SELECT trial_id, epochs, output_dim, hidden_dim, P, K, round(margin - dropout, 9) AS objective FROM tr ORDER BY objective DESC, trial_id LIMIT 1",
+    "fuzzy_graph": _FUZZY,
     "class_centroids": f"WITH {_L} SELECT label, CAST(pos AS INT) AS pos, round(avg(v), 6) AS value FROM l GROUP BY label, pos",
 }
