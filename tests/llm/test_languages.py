@@ -92,8 +92,9 @@ def plain_words(text):
     for c in unicodedata.normalize("NFC", (text or "").lower()):
         if c.isalpha() or (word and unicodedata.category(c)[0] == "M"):
             word += c
-        else:
-            out, word = out + [word] * bool(word), ""
+        elif word:
+            out.append(word)
+            word = ""
     return out + [word] * bool(word)
 
 

@@ -113,12 +113,13 @@ def test_quality_corners(spark):
 def plain_statistics(text):
     """Character by character and word by word."""
     raw = (text or "").encode()
-    words, word = [], b""
+    words, word = [], []
     for b in [*raw, 32]:
-        if chr(b) in " \t\n\r\x0b\x0c":
-            words, word = words + [word] * bool(word), b""
-        else:
-            word += bytes([b])
+        if chr(b) not in " \t\n\r\x0b\x0c":
+            word.append(b)
+        elif word:
+            words.append(bytes(word))
+            word = []
     blank = sum(chr(b) in " \t\n\r\x0b\x0c" for b in raw)
     solid, n = max(1, len(raw) - blank), len(words)
     letters = sum(chr(b) in string.ascii_letters or b >= 0xC0 for b in raw)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -13,11 +14,15 @@ from lodestar.llm import byte_bpe, elias_fano, packing, token_counts, token_file
 from .corpus import awkward_texts, by_row, documents, empty
 
 
-def reference(texts):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(byte_bpe.default_path())
-    return [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return Tokenizer.from_file(byte_bpe.default_path())
+
+
+def reference(texts):
+    return [np.array(x.ids, dtype="<u4").tobytes() for x in library().encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def ids_of(text):
