@@ -38,6 +38,8 @@ _HEAD = struct.Struct("<8sQQQqQB7x")
 #: Ids that a segment holds before the next begins; characters that a range of documents holds, and the
 #: most ranges (beyond them, ranges grow; a task still holds one segment).
 SEGMENT_IDS, RANGE_CHARS, MOST_RANGES = 4_000_000, 12_000_000, 20_000
+#: A segment's number is its range's, and its own in the range in these low bits.
+RANGE_BITS = 24
 
 
 def segment_bytes(number: int, doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -100,10 +102,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.EN
             ids.append(got + end)
             held += len(ids[-1]) // 4
             if held >= SEGMENT_IDS:
-                yield pa.RecordBatch.from_pydict({"value": [segment_bytes((part << 24) + k, doc_ids, ids, width)]})
+                yield pa.RecordBatch.from_pydict({"value": [segment_bytes((part << RANGE_BITS) + k, doc_ids, ids, width)]})
                 k, doc_ids, ids, held = k + 1, [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pydict({"value": [segment_bytes((part << 24) + k, doc_ids, ids, width)]})
+            yield pa.RecordBatch.from_pydict({"value": [segment_bytes((part << RANGE_BITS) + k, doc_ids, ids, width)]})
 
     made = ranged.select("doc_id", "text").mapInArrow(segments, "value binary")
     made.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
@@ -140,15 +142,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def with_starts(documents: DataFrame) -> DataFrame:
     """Adds ``start``, the ids of all documents before: running totals over segments, not documents.
 
-    One task orders a row for each segment of millions of ids: a few million rows for 100 TB of text.
+    Segments are added up range by range; only the ranges, MOST_RANGES at most, meet in one task.
     """
     documents = settle(documents, "token-file-documents")
-    totals = documents.groupBy("segment").agg(F.sum("n_tokens").alias("total"))
-    before = W.orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select("segment", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    totals = documents.groupBy("segment").agg(F.sum("n_tokens").alias("total")).withColumn("range", F.shiftright("segment", RANGE_BITS))
+    ranges = totals.groupBy("range").agg(F.sum("total").alias("of_range"))
+    ranges = ranges.select("range", F.coalesce(F.sum("of_range").over(_before(W.orderBy("range"))), F.lit(0)).alias("before_range"))
+    inside = F.coalesce(F.sum("total").over(_before(W.partitionBy("range").orderBy("segment"))), F.lit(0))
+    bases = totals.withColumn("inside", inside).join(F.broadcast(ranges), "range").select("segment", (F.col("inside") + F.col("before_range")).alias("base"))
     return documents.join(bases, "segment").withColumn("start", F.col("base") + F.col("local_start"))
 
 
+def _before(window):
+    return window.rowsBetween(W.unboundedPreceding, -1)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` written as token files and read back."""
     path = new_path(spark, "token-files")
