@@ -19,14 +19,14 @@ def per_class(items: DataFrame, ratio: float, seed: int = 42, label: str = "labe
     """Adds ``is_query``: in each class a circular run of ``floor(n * ratio)`` items from a seeded start.
 
     With ``group``, rows that share a group (copies of one source) fall on the same side: groups take
-    the place of items.
+    the place of items. Only labels and keys are put in order; the items meet their side in one join.
     """
     unit = group or key
-    rows = place(items.select(label, group).distinct() if group else items, [label], unit)
+    rows = place(items.select(label, unit).distinct(), [label], unit)
     start = draw(f"split:{seed}", F.col(label)) % F.col("_size")
     size = F.floor(F.col("_size") * F.lit(float(ratio)))
-    rows = rows.withColumn("is_query", _off(F.col("_place"), start, F.col("_size")) < size).drop("_place", "_size")
-    return items.join(rows, [label, group]) if group else rows
+    sides = rows.select(F.col(label).alias("_label"), F.col(unit).alias("_unit"), (_off(F.col("_place"), start, F.col("_size")) < size).alias("is_query"))
+    return items.join(sides, F.col(label).eqNullSafe(F.col("_label")) & F.col(unit).eqNullSafe(F.col("_unit"))).select(items["*"], "is_query")
 
 
 def positional(items: DataFrame, ratio: float, seed: int = 42, label: str = "label", key: str = "vec_id") -> DataFrame:

@@ -194,6 +194,14 @@ def test_split_by_group_keeps_copies_together(spark):
     assert {r["n"] for r in got.collect()} == {1}
 
 
+def test_split_keeps_rows_without_a_class_and_repeated_ones(spark):
+    rows = items(spark, [(k, None if k % 4 == 0 else k % 2, [float(k)]) for k in range(40)] + [(1, 1, [1.0])] * 3)
+    got = splits.per_class(rows, 0.5)
+    assert got.columns == [*rows.columns, "is_query"] and got.count() == 43
+    assert got.filter("vec_id = 1").select("is_query").distinct().count() == 1
+    assert got.filter("label is null and is_query").count() == 5
+
+
 def test_pk_wraps_and_needs_enough_classes(spark):
     rows = items(spark, [(k, k // 2, [0.0]) for k in range(8)])
     got = sampling.pk_batches(rows, 2, 4).collect()
