@@ -84,7 +84,10 @@ class Encoder:
         """Append the ids of new chunks. Those without white space at their ends are encoded together."""
         plain, odd, loose = [], [], np.zeros(len(chunks), bool)
         for k, x in enumerate(chunks):
-            y = x if x.isascii() else x.decode()
+            if x and 0x20 < x[0] < 0x80 and 0x20 < x[-1] < 0x80:  # most
+                plain.append(k)
+                continue
+            y = x.decode()
             if y and y.strip() == y:
                 plain.append(k)
             else:

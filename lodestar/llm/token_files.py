@@ -35,9 +35,9 @@ from lodestar.sources.shared import new_path, settle
 
 MAGIC = b"LODEFSG2"
 _HEAD = struct.Struct("<8sQQQqQB7x")
-#: Ids that a segment holds before the next begins; characters that a range of documents holds, and the
+#: Ids that a segment holds before the next begins; bytes of text that a range of documents holds, and the
 #: most ranges (beyond them, ranges grow; a task still holds one segment).
-SEGMENT_IDS, RANGE_CHARS, MOST_RANGES = 4_000_000, 12_000_000, 20_000
+SEGMENT_IDS, RANGE_BYTES, MOST_RANGES = 4_000_000, 12_000_000, 20_000
 #: A segment's number is its range's, and its own in the range in these low bits.
 RANGE_BITS = 24
 
@@ -87,9 +87,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = byte_bpe.EN
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows that share id and text differ by ``row`` alone, so no key holds more than a row
     docs = docs.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     keys = ["doc_id", "tie", "row"]
-    ranged = docs.repartitionByRange(min(MOST_RANGES, 1 + chars // RANGE_CHARS), *keys).sortWithinPartitions(*keys)
+    ranged = docs.repartitionByRange(min(MOST_RANGES, 1 + size // RANGE_BYTES), *keys).sortWithinPartitions(*keys)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

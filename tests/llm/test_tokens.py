@@ -83,7 +83,7 @@ def test_segments_keep_any_doc_id():
 
 
 def test_files_of_one_repeated_row(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_files, "RANGE_CHARS", 2_000)
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 2_000)
     docs = spark.createDataFrame([(5, "all the same words")] * 900 + [(4, "other")], "doc_id long, text string")
     path = f"{tmp_path.as_uri()}/r"
     token_files.write(docs, path, byte_bpe.default_path())
@@ -97,7 +97,7 @@ def test_files_of_one_repeated_row(spark, tmp_path, monkeypatch):
 
 def test_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", 300)
-    monkeypatch.setattr(token_files, "RANGE_CHARS", 20_000)
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 20_000)
     docs = documents(spark)
     token_files.write(docs, f"{tmp_path.as_uri()}/f", byte_bpe.default_path())
     assert len(list((tmp_path / "f").glob("part-*"))) > 3
