@@ -108,18 +108,20 @@ def random_resized_crop(img: np.ndarray, rng: np.random.Generator, size: int = 2
     return resize(img, size, size)
 
 
-def color_jitter(img: np.ndarray, rng: np.random.Generator, strength: tuple = JITTER) -> np.ndarray:
-    """Brightness, contrast, saturation and hue in a drawn order."""
-    gray = lambda x: x @ np.array([0.299, 0.587, 0.114])
-    factors = [rng.uniform(max(0, 1 - s), 1 + s) for s in strength[:3]] + [rng.uniform(-strength[3], strength[3])]
-    for k in rng.permutation(4):
+def _gray(img: np.ndarray) -> np.ndarray:
+    return img @ np.array([0.299, 0.587, 0.114])
+
+
+def jitter(img: np.ndarray, factors: Sequence[float], order: Sequence[int]) -> np.ndarray:
+    """Brightness, contrast, saturation (0, 1, 2) by their factors and hue (3) by its part of a turn, in ``order``."""
+    for k in order:
         f = factors[k]
         if k == 0:
             img = img * f
         elif k == 1:
-            img = gray(img).mean() * (1 - f) + img * f
+            img = _gray(img).mean() * (1 - f) + img * f
         elif k == 2:
-            img = gray(img)[..., None] * (1 - f) + img * f
+            img = _gray(img)[..., None] * (1 - f) + img * f
         else:  # turn the chroma plane of YIQ
             yiq = np.array([[0.299, 0.587, 0.114], [0.596, -0.274, -0.322], [0.211, -0.523, 0.312]])
             c, s = np.cos(2 * np.pi * f), np.sin(2 * np.pi * f)
@@ -129,6 +131,12 @@ def color_jitter(img: np.ndarray, rng: np.random.Generator, strength: tuple = JI
     return img
 
 
+def color_jitter(img: np.ndarray, rng: np.random.Generator, strength: tuple = JITTER) -> np.ndarray:
+    """``jitter`` by drawn factors in a drawn order."""
+    factors = [rng.uniform(max(0, 1 - s), 1 + s) for s in strength[:3]] + [rng.uniform(-strength[3], strength[3])]
+    return jitter(img, factors, rng.permutation(4))
+
+
 def rotate(img: np.ndarray, degrees: float) -> np.ndarray:
     """About the centre, nearest pixel, black outside."""
     h, w = img.shape[:2]

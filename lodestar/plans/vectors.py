@@ -22,7 +22,7 @@ from lodestar.plans.retrieval import items
 from lodestar.schema import EngineConfig
 from lodestar.sources.catalogue import class_of
 
-SIDE, TOKENS, THRESHOLD, LR, DECAY = 8, 8, 0.2, 1e-2, 1e-1
+SIDE, TOKENS, THRESHOLD, LR, DECAY, FACTORS = 8, 8, 0.2, 1e-2, 1e-1, (1.25, 0.75, 1.3)
 
 
 def _v() -> Column:
@@ -147,6 +147,12 @@ def resize_up(spark, sf_dir):
     return _on_tiles(spark, sf_dir, lambda img: image.resize(img, 3 * SIDE // 2, 3 * SIDE // 2).transpose(2, 0, 1), 1)
 
 
+def jitter_tile(spark, sf_dir):
+    """Colours of a tile whose channels are its values, half of them and a third: saturation, brightness, contrast."""
+    third = 1 / np.arange(1, 4)
+    return _on_tiles(spark, sf_dir, lambda img: image.jitter(img * third, FACTORS, (2, 0, 1)).transpose(2, 0, 1), 3)
+
+
 def rotate_tile(spark, sf_dir):
     return _on_tiles(spark, sf_dir, lambda img: image.rotate(img, float(image.DEGREES)).transpose(2, 0, 1), 1)
 
@@ -258,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         l2_normalize, l2_normalize_raw, conditional_normalize, token_mean_pool, pooled_or_mean, head_forward, embed, pixel_normalize,
-        hflip, vflip, mask_apply, mask_bbox, mask_crop, background_replace, resize_nearest, eval_transform, resize_up, rotate_tile, adamw_steps, gray_to_rgb, best_checkpoint_flags,
+        hflip, vflip, mask_apply, mask_bbox, mask_crop, background_replace, resize_nearest, eval_transform, resize_up, jitter_tile, rotate_tile, adamw_steps, gray_to_rgb, best_checkpoint_flags,
         best_checkpoint_final, path_label, augment_plan, augment_resume, trial_space, best_trial, train_head_log, pca_2d, neighbour_map, fuzzy_graph, class_centroids,
     )
 }
@@ -350,6 +356,11 @@ ORACLE_SQL = {
     "eval_transform": f"""{_resized(SIDE // 2)} SELECT image, CAST(c AS INT) AS c, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round((v / 255 - m) / s, 6) AS v
   FROM r, (VALUES (0, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456::DOUBLE, 0.224::DOUBLE), (2, 0.406::DOUBLE, 0.225::DOUBLE)) n(c, m, s)""",
     "resize_up": f"{_resized(3 * SIDE // 2)} SELECT image, 0 AS c, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(v, 6) AS v FROM r",
+    "jitter_tile": f"""{_TILES}, p AS (SELECT image, y, x, c, (v + 1) * 127.5::DOUBLE / (c + 1) AS v, (v + 1) * 127.5::DOUBLE AS top FROM t, range(0, 3) r(c)),
+s AS (SELECT image, y, x, c, least(255, greatest(0, top * (0.299::DOUBLE + 0.587::DOUBLE / 2 + 0.114::DOUBLE / 3) * (1 - {FACTORS[2]}::DOUBLE) + v * {FACTORS[2]}::DOUBLE)) AS v FROM p),
+b AS (SELECT image, y, x, c, least(255, v * {FACTORS[0]}::DOUBLE) AS v FROM s),
+m AS (SELECT image, sum(v * CASE c WHEN 0 THEN 0.299::DOUBLE WHEN 1 THEN 0.587::DOUBLE ELSE 0.114::DOUBLE END) / {SIDE * SIDE} AS m FROM b GROUP BY image)
+SELECT image, CAST(c AS INT) AS c, y, x, round(least(255, greatest(0, m * (1 - {FACTORS[1]}::DOUBLE) + v * {FACTORS[1]}::DOUBLE)), 6) AS v FROM b JOIN m USING (image)""",
     "rotate_tile": f"""{_TILES}, p AS (SELECT t.image, t.y, t.x, CAST(round_even(cos(a) * (x - 3.5) - sin(a) * (y - 3.5) + 3.5, 0) AS INT) AS sx,
   CAST(round_even(sin(a) * (x - 3.5) + cos(a) * (y - 3.5) + 3.5, 0) AS INT) AS sy FROM t, (SELECT radians({image.DEGREES}::DOUBLE) AS a))
 SELECT p.image, 0 AS c, p.y, p.x, round(coalesce((t.v + 1) * 127.5::DOUBLE, 0), 6) AS v FROM p LEFT JOIN t ON t.image = p.image AND t.y = sy AND t.x = sx""",
