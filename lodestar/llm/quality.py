@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.shared import settle
+
 from . import _worker
 
 FIT_ROWS, THRESHOLD = 20_000, 0.3
@@ -132,8 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discrim
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     labels = labels.filter("doc_id is not null and quality in (0, 1)").filter(fold(F.col("doc_id"), 5) != 0)
     agreed = labels.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("top")).filter("y = top")
+    agreed = settle(agreed.select("doc_id", "y", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw")), "labels")
+    # twice as many as wanted, by hash, where the rows lie: so few are put in order, however many there are
+    few = agreed.filter(F.col("draw") < F.lit(2.0 * fit_rows * (1 << 30) / max(1, agreed.count())))
     # at most ``fit_rows`` rows of 12 bytes
-    chosen = F.broadcast(agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", "y"))
+    chosen = F.broadcast(few.orderBy("draw", "doc_id").limit(fit_rows).select("doc_id", "y"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

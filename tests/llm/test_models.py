@@ -99,6 +99,20 @@ def test_quality_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
+def test_quality_learns_from_the_least_hashes(spark):
+    """The sample is the same whether or not rows are thinned before they are put in order."""
+    rng = random.Random(14)
+    rows = [(k, prose(rng, 60) if k % 3 else "### $$$ " * 9, int(k % 3 > 0)) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    draws = {r[0]: r[1] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 1 << 30)").collect()}
+    known = sorted((k for k, _, _ in rows if zlib.crc32(str(k).encode()) % 5), key=lambda k: (draws[k], k))
+    few = sorted(known[:300])
+    model = quality.fit(docs, docs, 300)
+    x, y = np.array([quality.statistics(rows[k][1]) for k in few]), np.array([rows[k][2] for k in few])
+    points = np.array([quality.statistics(t) for _, t, _ in rows[:50]])
+    assert model.score(points) == pytest.approx(quality.Discriminant(x, y, *quality.shrinkage(x, y)).score(points))
+
+
 def test_quality_corners(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (None, 1, 0), (3, None, 0), (999, 1, 0), (919, 1, 0), (919, 1, 0)], "doc_id long, quality int, toxic int")
