@@ -12,6 +12,15 @@ def items(spark, vectors):
     return spark.createDataFrame([(7 * k + 3, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
 
 
+def test_components_equal_a_decomposition(spark):
+    v = np.random.default_rng(5).normal(size=(70, 6)) * np.array([5, 3, 1, 1, 0.5, 0.1])
+    at = {r["vec_id"]: (r["x"], r["y"]) for r in map2d.map_2d(items(spark, v).repartition(3)).collect()}
+    centred = v - v.mean(axis=0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    axes = axes * np.sign(axes[range(2), np.abs(axes).argmax(axis=1)])[:, None]
+    assert np.allclose([at[7 * k + 3] for k in range(70)], centred @ axes.T)
+
+
 def test_memberships_add_up():
     rng = np.random.default_rng(1)
     d = np.sort(rng.random((50, 15)) + 0.2, axis=1)
